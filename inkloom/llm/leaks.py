@@ -91,23 +91,27 @@ def _extend(item: list[str], i: int, doc: str, p: int, step: int) -> list[bool]:
             p += len(w)
             i += 1
             continue
-        # A changed word: the stream must pick up again at the next item words.
-        follow = "".join(item[i + 1 : i + 3])
+        # A changed word, or a few: the stream must pick up again at the item words that follow.
         d, used = myers(w, doc[p : p + 2 * len(w) + 2])
-        at = -1
-        if follow:
-            at = doc.find(follow, p, p + len(w) + 24 + len(follow))
-            if at < 0 and d <= max(1, len(w) // 3) and i + 1 < n and doc.startswith(item[i + 1][:3], p + used):
-                at = p + used
-        elif d <= max(1, len(w) // 3):
-            flags.append(False)
+        at, skip = -1, 1
+        while at < 0 and skip <= 3 and i + skip < n:
+            follow = "".join(item[i + skip : i + skip + 2])
+            at = doc.find(follow, p, p + sum(map(len, item[i : i + skip])) + 24 + len(follow))
+            skip += at < 0
+        if at < 0:
+            skip = 1
+            if d <= max(1, len(w) // 3):
+                if i + 1 < n and doc.startswith(item[i + 1][:3], p + used):
+                    at = p + used
+                elif i + 1 == n:
+                    flags.append(False)
+                    break
+        bad += skip
+        if at < 0 or bad > 3 + len(flags) // 8:
             break
-        bad += 1
-        if at < 0 or bad > 2 + len(flags) // 8:
-            break
-        flags.append(False)
+        flags += [False] * skip
         p = at
-        i += 1
+        i += skip
     return flags
 
 
