@@ -20,8 +20,9 @@ from inkloom.llm.readings import KEYS, compare, each_batch, with_pivot
 from inkloom.session import cut, maybe_broadcast
 
 LEAST = 3
-#: A field limit is a length that holds at least this share of a source's values and that hardly any value exceeds.
-LIMIT_SHARE, LIMIT_BEYOND, LIMIT_ROWS = 0.03, 0.03, 20
+#: A field limit is a length that holds at least this share of a source's values and that at most LIMIT_BEYOND times as
+#: many values exceed (signs put in after the cut).
+LIMIT_SHARE, LIMIT_BEYOND, LIMIT_ROWS = 0.03, 0.3, 20
 OPEN = {"(": ")", "[": "]", "{": "}", "“": "”", "„": "”", "«": "»", "‘": "’"}
 _tag = re.compile(r"<(/?)([a-zA-Z][\w-]*)[^<>]*?(/?)>")
 _end = re.compile(r"[.!?…:;][\"'”’)\]]*$")
@@ -91,7 +92,7 @@ def limits(values: DataFrame, source: list[str], size: str = "size") -> DataFram
     h = values.groupBy(*source, size).agg(F.count("*").alias("k"))
     longest = h.groupBy(*source).agg(F.sum("k").alias("all"), F.max_by(size, "k").alias("mode"), F.max("k").alias("most"))
     beyond = h.join(longest, source).groupBy(*source, "mode", "most", "all").agg(F.sum(F.when(F.col(size) > F.col("mode"), F.col("k")).otherwise(0)).alias("over"))
-    ok = (F.col("most") >= F.greatest(F.lit(LIMIT_ROWS), F.col("all") * LIMIT_SHARE)) & (F.col("over") <= F.col("all") * LIMIT_BEYOND)
+    ok = (F.col("most") >= F.greatest(F.lit(LIMIT_ROWS), F.col("all") * LIMIT_SHARE)) & (F.col("over") <= F.col("most") * LIMIT_BEYOND)
     return beyond.where(ok).select(*source, F.col("mode").alias("field_limit"))
 
 
