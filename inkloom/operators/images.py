@@ -1,0 +1,82 @@
+"""Numeric image operators: geometry of a page's outline and bands, tone levels."""
+
+from __future__ import annotations
+
+import numpy as np
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+
+def order_quad(points) -> np.ndarray:
+    """Four corners as top left, top right, bottom right, bottom left."""
+    p = np.asarray(points, float)
+    s, d = p.sum(1), p[:, 1] - p[:, 0]
+    return p[[s.argmin(), d.argmin(), s.argmax(), d.argmax()]]
+
+
+def warp(image: np.ndarray, quad, width: int | None = None, height: int | None = None) -> np.ndarray:
+    """The quadrilateral's content as an upright rectangle, by the homography of its corners, nearest pixel."""
+    q = order_quad(quad)
+    w = width or int(max(np.linalg.norm(q[1] - q[0]), np.linalg.norm(q[2] - q[3])))
+    h = height or int(max(np.linalg.norm(q[3] - q[0]), np.linalg.norm(q[2] - q[1])))
+    to = np.array([[0, 0], [w - 1, 0], [w - 1, h - 1], [0, h - 1]], float)
+    rows = []
+    for (x, y), (u, v) in zip(to, q):
+        rows += [[x, y, 1, 0, 0, 0, -u * x, -u * y, -u], [0, 0, 0, x, y, 1, -v * x, -v * y, -v]]
+    m = np.linalg.svd(np.array(rows))[2][-1].reshape(3, 3)
+    gx, gy = np.meshgrid(np.arange(w), np.arange(h))
+    z = m @ np.stack([gx.ravel(), gy.ravel(), np.ones(w * h)])
+    u, v = np.rint(z[:2] / z[2]).astype(int)
+    return image[v.clip(0, image.shape[0] - 1), u.clip(0, image.shape[1] - 1)].reshape(h, w, *image.shape[2:])
+
+
+def suppress_bleed(gray: np.ndarray, strength: float = 1.0, window: int = 31) -> np.ndarray:
+    """Divides out the background (block medians, smoothed by repetition) and blends with the original."""
+    h, w = gray.shape
+    ys, xs = range(0, h, window), range(0, w, window)
+    tiles = np.array([[np.median(gray[y : y + window, x : x + window]) for x in xs] for y in ys])
+    back = np.repeat(np.repeat(tiles, window, 0), window, 1)[:h, :w]
+    flat = np.clip(gray / np.maximum(back, 1) * 255.0, 0, 255)
+    return ((1 - strength) * gray + strength * flat).astype(np.uint8)
+
+
+def stretch(image: np.ndarray, low: float = 0.3, high: float = 0.8) -> np.ndarray:
+    """Levels: below low black, above high white, linear between, fractions cut off."""
+    x = (np.asarray(image, float) / 255.0 - low) / (high - low)
+    return (np.clip(x, 0, 1) * 255).astype(np.uint8)
+
+
+def stretched(value: Column, low: float = 0.3, high: float = 0.8) -> Column:
+    """stretch() of a column of 0..255 values."""
+    x = (value.cast("double") / 255.0 - low) / (high - low)
+    return F.floor(F.greatest(F.lit(0.0), F.least(F.lit(1.0), x)) * 255.0)
+
+
+def resize_long_side(image: np.ndarray, long_side: int = 2200) -> np.ndarray:
+    """The image scaled so that its longer side is long_side; as it is if that changes next to nothing."""
+    f = long_side / max(image.shape[:2])
+    if abs(f - 1) < 1e-3:
+        return image
+    h, w = (max(1, round(x * f)) for x in image.shape[:2])
+    ys, xs = (np.arange(h) / f).astype(int).clip(0, image.shape[0] - 1), (np.arange(w) / f).astype(int).clip(0, image.shape[1] - 1)
+    return image[ys][:, xs]
+
+
+def bands(sizes: DataFrame, height: str = "height", n: int = 5, overlap: float = 0.18) -> DataFrame:
+    """sizes with a row per horizontal band: band (from 0), y0, y1; neighbours overlap by a share of a band's height."""
+    step = F.col(height) / F.lit(n - (n - 1) * overlap)
+    x = sizes.where(F.col(height).isNotNull()).withColumn("band", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    y0 = F.bround(F.col("band") * step * (1 - overlap)).cast("int")
+    y1 = F.least(F.col(height), F.bround(F.col("band") * step * (1 - overlap) + step).cast("int"))
+    return x.withColumns({"y0": y0, "y1": y1})
+
+
+def cut_bands(image: np.ndarray, n: int = 5, overlap: float = 0.2) -> list[np.ndarray]:
+    h = image.shape[0]
+    step = h / (n - (n - 1) * overlap)
+    return [image[round(k * step * (1 - overlap)) : min(h, round(k * step * (1 - overlap) + step))] for k in range(n)]
+
+
+def read_images(spark: SparkSession, root: str) -> DataFrame:
+    """Decoded images of a folder by the built-in source: path, width, height, channels, data (BGR rows)."""
+    return spark.read.format("image").option("recursiveFileLookup", True).load(root).select("image.origin", "image.width", "image.height", "image.nChannels", "image.data")
