@@ -46,10 +46,10 @@ class Store:
         return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
 
     def _pointer(self, name: str) -> str | None:
-        fs, p = self._fs(f"{self.root}/{name}/_CURRENT")
+        fs, p = self._fs(f"{self.root}/{name}/CURRENT")
         if not fs.exists(p):
             return None
-        return self.spark.read.text(f"{self.root}/{name}/_CURRENT").first()[0]
+        return self.spark.read.text(f"{self.root}/{name}/CURRENT").first()[0]
 
     def read(self, name: str) -> DataFrame:
         """The frame, or an empty one of the right schema; an unknown name is a KeyError."""
@@ -60,11 +60,11 @@ class Store:
     def write(self, name: str, df: DataFrame) -> None:
         version = f"v-{uuid.uuid4().hex}"
         df.write.parquet(f"{self.root}/{name}/{version}")
-        fs, p = self._fs(f"{self.root}/{name}/_CURRENT.{version}")
+        fs, p = self._fs(f"{self.root}/{name}/CURRENT.{version}")
         out = fs.create(p)
         out.write(bytearray(version.encode()))
         out.close()
-        _, current = self._fs(f"{self.root}/{name}/_CURRENT")
+        _, current = self._fs(f"{self.root}/{name}/CURRENT")
         old = self._pointer(name)
         fs.delete(current, False)
         fs.rename(p, current)
