@@ -32,13 +32,14 @@ SUSPECT = "[" + INVISIBLE + SPACES + HYPHENS + "".join(LIGATURES) + "\uff01-\uff
 _invisible, _suspect = re.compile(f"[{INVISIBLE}]"), re.compile(SUSPECT)
 _plain = str.maketrans({**{c: " " for c in SPACES}, **{c: "-" for c in HYPHENS}, **LIGATURES, **dict(zip(FULL_FROM, FULL_TO))})
 _alike = str.maketrans(ALIKE)
-_other = re.compile("[^\\W\\d_]*[\u0370-\u03ff\u0400-\u052f\u0251\u0261][^\\W\\d_]*(?:[.'-][^\\W\\d_]+)*")
+_letters = re.compile(r"[^\W\d_]+(?:[.'-][^\W\d_]+)*")
+_other = re.compile(f"[{OTHER}]")
 
 
 def _word(m: re.Match) -> str:
     w = m[0]
-    foreign = [c for c in w if re.match(f"[{OTHER}]", c)]
-    if all(c in ALIKE for c in foreign) and (len(foreign) < sum(c.isalpha() for c in w) or len(foreign) > 1):
+    foreign = _other.findall(w)
+    if foreign and all(c in ALIKE for c in foreign) and (len(foreign) < sum(c.isalpha() for c in w) or len(foreign) > 1):
         return w.translate(_alike)
     return w
 
@@ -50,7 +51,7 @@ def usual(text: str | None) -> str | None:
     if text is None or not _suspect.search(text):
         return text
     t = unicodedata.normalize("NFC", _invisible.sub("", text).translate(_plain))
-    return _other.sub(_word, t)
+    return _letters.sub(_word, t) if _other.search(t) else t
 
 
 def mapped(text: Column) -> Column:
