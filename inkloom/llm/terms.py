@@ -88,6 +88,9 @@ class Dictionary:
         for term, text, n in entries:
             if (k := letters(plain(text))) and (k not in self.spellings or (n, -term) > (self.spellings[k][1], -self.spellings[k][0])):
                 self.spellings[k] = (term, n)
+        most = max(map(len, self.spellings), default=0)
+        #: A longer value is further from every entry than any bound; the cheapest edit costs half.
+        self.longest = most + 2 * max(LEAST, SHARE * most)
         self.index = defaultdict(set)
         for k in self.spellings:
             for d in self.keys(k):
@@ -112,7 +115,7 @@ class Dictionary:
 
     def look(self, k: str) -> tuple[int, float] | None:
         """The closest entry of a stripped value and its distance, or None."""
-        if not k:
+        if not k or len(k) > self.longest:
             return None
         if k in self.spellings:
             return self.spellings[k][0], 0.0

@@ -129,7 +129,7 @@ def lines(transcriptions: DataFrame) -> DataFrame:
 
 def summaries(s: DataFrame, col: str = "summary_en", key: str = "letter_id", source: str = "model") -> DataFrame:
     """(key, source, is_cut, why) of every different non-null text. A text without a terminator is cut if its last word
-    hardly ever ends a sentence in the corpus, or if it has its source's fixed length."""
+    hardly ever ends a sentence in the corpus, or if it has its source's fixed length; an empty text is not cut."""
     t = s.where(F.col(key).isNotNull() & F.col(col).isNotNull()).select(F.col(key).alias("k"), F.col(source).alias("source"), F.col(col).alias("text")).distinct()
     t = t.withColumn("u", F.lower(mapped(F.col("text")))).withColumn("size", F.length("text"))
     # How often a pair of words ends a sentence, of all its occurrences; each different sentence counts once.
@@ -150,7 +150,7 @@ def summaries(s: DataFrame, col: str = "summary_en", key: str = "letter_id", sou
     t = t.withColumn("begin", F.concat_ws(" ", last, "pair"))
     limit = limits(t, ["source"])
     t = t.join(maybe_broadcast(limit, 100_000), "source", "left").join(words, "word", "left").join(pairs, "pair", "left").join(begins, "begin", "left")
-    open_end = ~F.col("text").rlike(r"[.!?…][\"'”’)\]]*\s*$")
+    open_end = (F.trim("text") != "") & ~F.col("text").rlike(r"[.!?…][\"'”’)\]]*\s*$")
     f1, n1 = F.coalesce("final", F.lit(0)), F.coalesce("inner", F.lit(0))
     f2, n2 = F.coalesce("final2", F.lit(0)), F.coalesce("inner2", F.lit(0))
     f3, n3 = F.coalesce("final3", F.lit(0)), F.coalesce("inner3", F.lit(0))

@@ -48,7 +48,9 @@ def test_term_lookup_equals_brute_force():
         k = "".join(w)
         all_ = sorted((terms.distance(k, x, max(terms.LEAST, terms.SHARE * len(x))), i) for i, x in enumerate(words))
         got = d.look(k)
-        assert got is not None and got[1] == pytest.approx(all_[0][0])
+        near = [(x, i) for x, i in all_ if x <= max(terms.LEAST, terms.SHARE * len(words[i]))]
+        assert (got is None) == (not near)
+        assert got is None or got[1] == pytest.approx(near[0][0])
 
 
 def test_names(spark):
@@ -115,7 +117,7 @@ def test_truncated(spark):
     assert got == [("local", 1, 2)]
     s = ["He went home again.", "They went home again.", "She saw the moon and went home again."] + ["He went home again", "She saw the mo", None, ""]
     sm = spark.createDataFrame([(f"L{i}", "x", t, None, [], "m", None) for i, t in enumerate(s)] * 2, FRAMES["summaries"])
-    assert sorted(r["letter_id"] for r in truncation.summaries(sm).where("is_cut").collect()) == ["L4", "L6"][:1]
+    assert sorted(r["letter_id"] for r in truncation.summaries(sm).where("is_cut").collect()) == ["L4"]
     assert truncation.found(tr.limit(0), sm.limit(0)).count() == 0
 
 
