@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import difflib
 from collections import Counter
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -18,7 +19,6 @@ from inkloom.operators.fuzzy import indel_ratio
 from inkloom.operators.scoring import SYSTEM
 
 TOKEN = "struct<text:string,alternatives:array<string>>"
-VOTED = f"array<struct<n:int,tokens:array<{TOKEN}>>>"
 
 
 def ranked(transcriptions: DataFrame, prefer: str = "local") -> DataFrame:
@@ -31,6 +31,9 @@ def ranked(transcriptions: DataFrame, prefer: str = "local") -> DataFrame:
     return g.select(*keys, F.col("x.text").alias("lines"), place.cast("bigint").alias("place"))
 
 
+ratio = lru_cache(maxsize=300_000)(indel_ratio)
+
+
 def align(ref: list[str], hyp: list[str], least: float = 45.0) -> list[int | None]:
     """For each ref line the hyp line that is matched to it in order, so that total likeness is greatest; None where
     there is none, or likeness is below `least`. On equal totals a match goes before leaving out a ref line."""
@@ -38,7 +41,9 @@ def align(ref: list[str], hyp: list[str], least: float = 45.0) -> list[int | Non
     like = np.zeros((n, m))
     for i in range(n):
         for j in range(m):
-            x = indel_ratio(ref[i], hyp[j])
+            a, b = len(ref[i]), len(hyp[j])
+            # The ratio can't exceed what the lengths allow.
+            x = ratio(ref[i], hyp[j]) if not a + b or 200.0 * min(a, b) >= least * (a + b) else 0.0
             like[i, j] = x if x >= least else 0.0
     total = np.zeros((n + 1, m + 1))
     for i in range(1, n + 1):
@@ -57,15 +62,21 @@ def align(ref: list[str], hyp: list[str], least: float = 45.0) -> list[int | Non
     return out
 
 
+def votes(ref: list[str], hyp: list[str]):
+    """(k, word): what a reading's line says on the words of the reference's."""
+    for kind, a, b, x, y in difflib.SequenceMatcher(None, ref, hyp, autojunk=False).get_opcodes():
+        if kind == "equal" or (kind == "replace" and b - a == y - x):
+            for k in range(b - a):
+                yield a + k, hyp[x + k]
+
+
 def vote(ref: list[str], hyps: list[list[str]]) -> list[tuple[str, list[str]]]:
     """Per word of ref the word with most votes, ref's own on a tie, and the others by votes, then first seen. A reading
     votes where it equals ref or replaces as many words as ref has there."""
     polls = [Counter({w: 1}) for w in ref]
     for h in hyps:
-        for kind, a, b, x, y in difflib.SequenceMatcher(None, ref, h, autojunk=False).get_opcodes():
-            if kind == "equal" or (kind == "replace" and b - a == y - x):
-                for k in range(b - a):
-                    polls[a + k][h[x + k]] += 1
+        for k, w in votes(ref, h):
+            polls[k][w] += 1
     out = []
     for w, poll in zip(ref, polls):
         top = max(poll.values())
@@ -88,20 +99,60 @@ def vote_page(readings: list[list[str]]) -> list[dict]:
     return out
 
 
-def voted(transcriptions: DataFrame, prefer: str = "local", most: int = 12) -> DataFrame:
-    """(page_id, n, tokens): voted lines of every page.
+def voted(transcriptions: DataFrame, prefer: str = "local") -> DataFrame:
+    """(page_id, n, tokens): voted lines of every page, the same as vote_page of its ranked readings.
 
-    Readings beyond the `most` highest ranked of a page don't vote; the reference has some three to ten. The consensus
-    for pages with very many readings is the llm subpackage's.
+    A reading's votes depend on itself and the page's first reading only, so that readings vote apart, wherever they
+    are, and their votes are counted: no page is one task, and all its readings count.
     """
-    r = ranked(transcriptions, prefer).where(F.col("place") <= most)
-    pages = r.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("place", "lines"))).alias("x")).select("page_id", F.col("x.lines").alias("readings"))
+    keys = ["page_id", *SYSTEM, "sample_no"]
+    g = transcriptions.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("line_no", "text"))).alias("x"))
+    rank = F.when(F.col("engine") == prefer, 0).otherwise(10) + F.coalesce("sample_no", F.lit(0))
+    # The order of readings as a string that sorts like it.
+    order = F.concat_ws("|", F.lpad(rank.cast("string"), 12, "0"), *[F.coalesce(c, F.lit("")) for c in SYSTEM], F.lpad(F.coalesce("sample_no", F.lit(0)).cast("string"), 12, "0"))
+    g = g.select("page_id", F.col("x.text").alias("lines"), order.alias("at"))
+    ref = g.groupBy("page_id").agg(F.min_by(F.struct("lines", "at"), "at").alias("r")).select("page_id", F.col("r.lines").alias("ref"), F.col("r.at").alias("ref_at"))
 
     def run(batches):
         for b in batches:
-            yield pd.DataFrame({"page_id": b["page_id"], "voted": [vote_page([list(x) for x in r]) for r in b["readings"]]})
-
-    return pages.mapInPandas(run, f"page_id string, voted {VOTED}").select("page_id", F.explode("voted").alias("v")).select("page_id", "v.n", "v.tokens")
+            polls: dict[tuple, list] = {}
+            known: dict[tuple, list] = {}
+            for page, lines, at, ref, ref_at in zip(b["page_id"], b["lines"], b["at"], b["ref"], b["ref_at"]):
+                first = [x or "" for x in ref]
+                if at == ref_at:
+                    for n, line in enumerate(first):
+                        polls[(page, n + 1, -1, "")] = [1, at]
+                        for k, w in enumerate(line.split()):
+                            _poll(polls, (page, n + 1, k, w), at)
+                    continue
+                own = [x or "" for x in lines]
+                for n, j in enumerate(align(first, own)):
+                    if j is None:
+                        continue
+                    pair = (first[n], own[j])
+                    if pair not in known:
+                        known[pair] = list(votes(pair[0].split(), pair[1].split()))
+                    for k, w in known[pair]:
+                        _poll(polls, (page, n + 1, k, w), at)
+            yield pd.DataFrame([(*key, *v) for key, v in polls.items()], columns=["page_id", "n", "k", "word", "votes", "at"])
+
+    cast = g.join(ref, "page_id").mapInPandas(run, "page_id string, n int, k int, word string, votes bigint, at string")
+    cast = cast.groupBy("page_id", "n", "k", "word").agg(F.sum("votes").alias("votes"), F.min("at").alias("at"))
+    # The reference's own word is the one that the first reading voted for: it wins ties.
+    poll = cast.where("k >= 0").groupBy("page_id", "n", "k").agg(F.array_sort(F.collect_list(F.struct((-F.col("votes")).alias("less"), "at", "word"))).alias("p"))
+    token = F.struct(F.col("p")[0]["word"].alias("text"), F.transform(F.slice("p", 2, F.size("p")), lambda x: x["word"]).alias("alternatives"))
+    tokens = poll.groupBy("page_id", "n").agg(F.array_sort(F.collect_list(F.struct("k", token.alias("t")))).alias("x")).select("page_id", "n", F.col("x.t").alias("tokens"))
+    every = cast.where("k < 0").select("page_id", "n")
+    return every.join(tokens, ["page_id", "n"], "left").select("page_id", "n", F.coalesce("tokens", F.array().cast(f"array<{TOKEN}>")).alias("tokens"))
+
+
+def _poll(polls: dict[tuple, list], key: tuple, at: str) -> None:
+    if key in polls:
+        p = polls[key]
+        p[0] += 1
+        p[1] = min(p[1], at)
+    else:
+        polls[key] = [1, at]
 
 
 def reconciled(voted_lines: DataFrame) -> DataFrame:

@@ -34,6 +34,8 @@ def test_vote_page(spark):
     out = voting.reconciled(voting.voted(df)).first()
     assert out["text_final"] == "15 Maart 1945.\nLieve Vader, Moeder en Han," and out["uncertain_spans"][-1]["alternatives"] == ["Hans,"]
     assert voting.voted(df.limit(0)).count() == 0
+    got = {r["n"]: [t["text"] for t in r["tokens"]] for r in voting.voted(df).collect()}
+    assert got == {x["n"]: [t["text"] for t in x["tokens"]] for x in voting.vote_page(r)}
 
 
 def test_cluster():
