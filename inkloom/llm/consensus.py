@@ -16,13 +16,14 @@ import math
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from inkloom.llm.readings import compare, each_batch, with_pivot
+from inkloom.llm.readings import compare, each_batch, whole, with_pivot
 from inkloom.session import cut
 
 #: Rounds of posteriors and parameters; L2 penalties of annotators and items; labels thought possible for an item.
-ROUNDS = 3
+ROUNDS = 2
 L2_ANNOTATOR, L2_ITEM, LABELS = 2.0, 4.0, 12
 ABSENT = -1
 FIRST = 4.0
@@ -37,7 +38,7 @@ def _votes(reads: DataFrame) -> DataFrame:
         for b in batches:
             out = []
             for row, ref, hyp, at in each_batch(b, memo):
-                who = f"{row.engine}|{row.sample_no}"
+                who = f"{row.engine}|{whole(row.sample_no)}"
                 out.append((row.page_id, who, None, None, None, True, sum(map(len, ref)), row.n))
                 seen = set()
                 for j, i in enumerate(at):
@@ -65,7 +66,8 @@ def _sigmoid(x: Column) -> Column:
 def fit(reads: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(labels, slots, annotators) of readings with a pivot.
 
-    labels: page_id, line, slot, label, q, the posterior of every label that was read and isn't the pivot's. slots:
+    labels: page_id, line, slot, label, n, q, q_pivot: the posteriors of every label that was read and isn't the pivot's,
+    and of the pivot's. slots:
     page_id, line, slot, n_votes, q_pivot, t. annotators: annotator, n_readings, n_slots, accuracy, s.
     """
     votes = cut(_votes(reads))
@@ -75,48 +77,47 @@ def fit(reads: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame, D
     diff = diff.withColumn("salt", F.pmod(F.xxhash64("page_id", "line"), F.lit(salts)).cast("int"))
     seen = seen.withColumn("salt", F.pmod(F.xxhash64("page_id", "annotator"), F.lit(salts)).cast("int"))
     known = cut(seen.groupBy("annotator").agg(F.count("*").alias("n_readings"), F.sum("size").alias("n_slots")).withColumns({"s": F.lit(FIRST), "accuracy": F.lit(None).cast("double")}))
-    tilts = None
     log_k = math.log(LABELS - 1)
+    line, slot = W.partitionBy("page_id", "line"), W.partitionBy("page_id", "line", "slot")
+    absent = F.col("slot") == ABSENT
+    state = None
     for turn in range(rounds + 1):
         # One annotator may hold a third of all rows: its parameter goes to every salt.
         salted = known.select("annotator", "s", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
         p = _sigmoid(F.col("s") - log_k)
         pages = seen.join(salted, ["annotator", "salt"]).groupBy("page_id").agg(F.sum("s").alias("page_s"), F.count("*").alias("page_n"), F.sum(p).alias("page_p"), F.sum(p * (1 - p)).alias("page_w"))
-        by_label = diff.join(salted, ["annotator", "salt"]).groupBy("page_id", "line", "slot", "label", "voted").agg(F.sum("s").alias("w"), F.count("*").alias("n"))
-        absent = by_label.where(F.col("slot") == ABSENT).select("page_id", "line", F.col("w").alias("gone_w"), F.col("n").alias("gone_n"))
+        lab = diff.join(salted, ["annotator", "salt"]).groupBy("page_id", "line", "slot", "label", "voted").agg(F.sum("s").alias("w"), F.count("*").alias("n"))
+        lab = lab.join(pages, "page_id")
         # A reading without the line says nothing about its slots.
-        slot = by_label.groupBy("page_id", "line", "slot").agg(F.sum("w").alias("dw"), F.sum("n").alias("dn"), F.sum(F.when(F.col("voted"), F.col("n")).otherwise(0)).alias("dissent"))
-        slot = slot.join(absent, ["page_id", "line"], "left").join(pages, "page_id")
-        missing = F.col("slot") == ABSENT
-        slot = slot.withColumns(
-            {
-                "pivot_w": F.col("page_s") - F.col("dw") - F.when(missing, 0.0).otherwise(F.coalesce("gone_w", F.lit(0.0))),
-                "pivot_n": F.col("page_n") - F.col("dn") - F.when(missing, 0).otherwise(F.coalesce("gone_n", F.lit(0))),
-            }
-        ).where("dissent > 0")
-        slot = slot.join(tilts, ["page_id", "line", "slot"], "left").fillna(0.0, ["t"]) if tilts is not None else slot.withColumn("t", F.lit(0.0))
-        lab = by_label.where("voted").join(slot.select("page_id", "line", "slot", "pivot_w", "pivot_n", "t"), ["page_id", "line", "slot"])
+        gone_w, gone_n = (F.when(absent, 0).otherwise(F.coalesce(F.sum(F.when(absent, F.col(c))).over(line), F.lit(0))) for c in ("w", "n"))
+        lab = lab.withColumns({"gone_w": gone_w, "gone_n": gone_n, "dw": F.sum("w").over(slot), "dn": F.sum("n").over(slot), "dissent": F.sum(F.when(F.col("voted"), F.col("n")).otherwise(0)).over(slot)})
+        lab = lab.withColumns({"pivot_w": F.col("page_s") - F.col("dw") - F.col("gone_w"), "pivot_n": F.col("page_n") - F.col("dn") - F.col("gone_n")})
+        if state is None:
+            lab = lab.withColumn("t", F.lit(0.0))
+        else:
+            lab = lab.join(state.where("first").select("page_id", "line", "slot", F.col("new_t").alias("t")), ["page_id", "line", "slot"])
         ahead = F.col("w") - F.col("pivot_w") + F.col("t") * (F.col("n") - F.col("pivot_n"))
-        lab = lab.withColumn("e", F.exp(F.greatest(F.lit(-300.0), F.least(F.lit(300.0), ahead))))
-        total = lab.groupBy("page_id", "line", "slot").agg(F.sum("e").alias("z"), F.sum(F.col("e") * F.col("n")).alias("zn"))
-        slot = slot.join(total, ["page_id", "line", "slot"]).withColumn("q_pivot", 1 / (1 + F.col("z")))
-        hits = (F.col("pivot_n") + F.col("zn")) / (1 + F.col("z"))
+        lab = lab.withColumn("e", F.when(F.col("voted"), F.exp(F.greatest(F.lit(-300.0), F.least(F.lit(300.0), ahead)))).otherwise(0.0))
+        lab = lab.withColumns({"z": F.sum("e").over(slot), "zn": F.sum(F.col("e") * F.col("n")).over(slot), "first": F.row_number().over(slot.orderBy("voted", "label")) == 1})
         voters = F.greatest(F.col("pivot_n") + F.col("dissent"), F.lit(1))
+        hits = (F.col("pivot_n") + F.col("zn")) / (1 + F.col("z"))
         new_t = (hits - F.col("page_p") * voters / F.col("page_n")) / (F.col("page_w") * voters / F.col("page_n") + L2_ITEM)
-        slot = slot.select("page_id", "line", "slot", voters.alias("n_votes"), "q_pivot", "z", F.greatest(F.lit(-3.0), F.least(F.lit(3.0), new_t)).alias("t"))
-        slot = cut(slot)
-        lab = lab.select("page_id", "line", "slot", "label", "n", "e").join(slot.select("page_id", "line", "slot", "z"), ["page_id", "line", "slot"]).select("page_id", "line", "slot", "label", "n", (F.col("e") / (1 + F.col("z"))).alias("q"))
+        state = cut(
+            lab.select(
+                "page_id", "line", "slot", "label", "voted", "n", "dissent", "first", voters.alias("n_votes"),
+                (F.col("e") / (1 + F.col("z"))).alias("q"), (1 / (1 + F.col("z"))).alias("q_pivot"), F.greatest(F.lit(-3.0), F.least(F.lit(3.0), new_t)).alias("new_t"),
+            )
+        )
         if turn == rounds:
             break
-        lab = cut(lab)
         # Expected mistakes of each annotator: where it followed the pivot, where it didn't.
-        lost = slot.groupBy("page_id").agg(F.sum(1 - F.col("q_pivot")).alias("lost"))
-        follow = seen.join(lost, "page_id").groupBy("annotator").agg(F.sum("lost").alias("a"))
-        own = diff.select("page_id", "annotator", "line", "slot", "label", "voted").join(slot.select("page_id", "line", "slot", "q_pivot"), ["page_id", "line", "slot"]).join(lab.select("page_id", "line", "slot", "label", "q"), ["page_id", "line", "slot", "label"], "left")
-        own = own.groupBy("annotator").agg(F.sum(1 - F.col("q_pivot")).alias("b"), F.sum(F.when(F.col("voted"), 1 - F.coalesce("q", F.lit(0.0))).otherwise(0.0)).alias("c"))
-        k = known.select("annotator", "n_readings", "n_slots", "s").join(follow, "annotator", "left").join(own, "annotator", "left").fillna(0.0, ["a", "b", "c"])
-        wrong = F.greatest(F.lit(0.0), F.col("a") - F.col("b") + F.col("c"))
-        right = F.greatest(F.lit(0.0), F.col("n_slots") - wrong)
+        lost = state.where("first AND dissent > 0").groupBy("page_id").agg(F.sum(1 - F.col("q_pivot")).alias("lost"))
+        follow = seen.join(lost, "page_id").groupBy("annotator").agg(F.sum("lost").alias("more"))
+        own = diff.select("page_id", "annotator", "line", "slot", "label", "voted").join(state.select("page_id", "line", "slot", "label", "voted", "q", "q_pivot"), ["page_id", "line", "slot", "label", "voted"])
+        own = own.groupBy("annotator").agg(F.sum(F.col("q_pivot") - 1 + F.when(F.col("voted"), 1 - F.col("q")).otherwise(0.0)).alias("more"))
+        wrong = follow.unionByName(own).groupBy("annotator").agg(F.sum("more").alias("wrong"))
+        k = known.select("annotator", "n_readings", "n_slots").join(wrong, "annotator", "left")
+        right = F.greatest(F.lit(0.0), F.col("n_slots") - F.greatest(F.lit(0.0), F.coalesce("wrong", F.lit(0.0))))
         k = k.withColumn("accuracy", (right + 9) / (F.col("n_slots") + 10))
         # Newton steps on the penalised dual, from the unpenalised optimum.
         k = k.withColumn("s", F.log(F.col("accuracy") / (1 - F.col("accuracy"))) + log_k)
@@ -124,8 +125,8 @@ def fit(reads: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame, D
             p = _sigmoid(F.col("s") - log_k)
             k = k.withColumn("s", F.col("s") + ((F.col("accuracy") - p) * F.col("n_slots") - L2_ANNOTATOR * (F.col("s") - FIRST)) / (p * (1 - p) * F.col("n_slots") + L2_ANNOTATOR))
         known = cut(k.select("annotator", "n_readings", "n_slots", F.greatest(F.lit(0.1), F.least(F.lit(12.0), F.col("s"))).alias("s"), "accuracy"))
-        tilts = slot.select("page_id", "line", "slot", "t")
-    return lab, slot, known
+    slots = state.where("first AND dissent > 0").select("page_id", "line", "slot", "n_votes", "q_pivot", F.col("new_t").alias("t"))
+    return state.where("voted").select("page_id", "line", "slot", "label", "n", "q", "q_pivot"), slots, known
 
 
 def agreement(reads: DataFrame) -> DataFrame:
@@ -146,9 +147,9 @@ def changed_lines(transcriptions: DataFrame) -> DataFrame:
     """(page_id, line_no, slot, label): where the consensus of a page with at least three readings differs from the
     reference reading; label '' where the reference has a word too many, slot -1 where it has a line too many."""
     reads = with_pivot(transcriptions).where("n >= 3 AND is_ref")
-    lab, slot, _ = fit(reads)
-    best = lab.groupBy("page_id", "line", "slot").agg(F.max("q").alias("q"), F.max_by("label", F.struct("q", "label")).alias("label"))
-    return best.join(slot.select("page_id", "line", "slot", "q_pivot"), ["page_id", "line", "slot"]).where("q > q_pivot").select("page_id", F.col("line").alias("line_no"), "slot", "label")
+    lab, _, _ = fit(reads)
+    best = lab.groupBy("page_id", "line", "slot").agg(F.max("q").alias("q"), F.max("q_pivot").alias("q_pivot"), F.max_by("label", F.struct("q", "label")).alias("label"))
+    return best.where("q > q_pivot").select("page_id", F.col("line").alias("line_no"), "slot", "label")
 
 
 def found(transcriptions: DataFrame) -> DataFrame:
