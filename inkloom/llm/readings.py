@@ -208,6 +208,11 @@ def with_pivot(transcriptions: DataFrame, engine: str = "local", sample_no: int
     return g.withColumn("is_pivot_key", key).join(pivot, ["page_id", "copy"]).withColumn("is_pivot", F.col("is_pivot_key") == F.col("p_key")).drop("copy", "is_pivot_key", "p_key")
 
 
+def whole(x) -> int | None:
+    """A number of a batch as an int; a batch with nulls holds floats."""
+    return None if x is None or x != x else int(x)
+
+
 def each_batch(b: pd.DataFrame, memo: dict):
     """For every reading of a batch: (row, the pivot's words by line, its own words by line, the ref index of each own
     line). Equal pivots and lines of a batch are prepared once."""

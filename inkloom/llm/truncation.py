@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkloom.llm.forms import mapped, usual
-from inkloom.llm.readings import KEYS, compare, each_batch, with_pivot
+from inkloom.llm.readings import KEYS, compare, each_batch, whole, with_pivot
 from inkloom.session import cut, maybe_broadcast
 
 LEAST = 3
@@ -68,7 +68,7 @@ def _ends(reads: DataFrame) -> DataFrame:
         for b in batches:
             out = []
             for row, ref, hyp, at in each_batch(b, memo):
-                key = (row.page_id, row.engine, row.model, row.prompt_version, row.variant, row.sample_no)
+                key = (row.page_id, row.engine, row.model, row.prompt_version, row.variant, whole(row.sample_no))
                 for j, i in enumerate(at):
                     text = row.texts[j]
                     delta = words = 0
@@ -81,7 +81,7 @@ def _ends(reads: DataFrame) -> DataFrame:
                                 memo[k] = compare(r, h)[1:]
                             delta, words, within = memo[k]
                     out.append((*key, row.nos[j], int(row.p_nos[i]) if i is not None else None, delta, words, within, len(text), hyp[j][-1] if hyp[j] and text[-1:].isalpha() else "", structure(text), row.n))
-            yield pd.DataFrame(out, columns=cols).astype({"line": "Int32"})
+            yield pd.DataFrame(out, columns=cols).astype({"line": "Int32", "sample_no": "Int32"})
 
     schema = "page_id string, engine string, model string, prompt_version string, variant string, sample_no int, line_no int, line int, delta int, words int, within boolean, size int, last string, open string, n bigint"
     return reads.mapInPandas(run, schema)

@@ -79,7 +79,7 @@ def test_scan_decoder(spark):
 
 def _readings(spark, texts):
     rows = [("p", e, "m", "v", "x", s, i + 1, t, "h", None) for (e, s), ls in texts.items() for i, t in enumerate(ls)]
-    return spark.createDataFrame(rows * 2 + [(None, "e", "m", "v", "x", 0, 1, "a", "h", None), ("q", "local", "m", "v", "x", 0, 1, None, "h", None)], FRAMES["transcriptions"])
+    return spark.createDataFrame(rows * 2 + [(None, "e", "m", "v", "x", 0, 1, "a", "h", None), ("q", "local", "m", "v", "x", 0, 1, None, "h", None), ("p", None, None, None, None, None, 1, BASE[0], None, None)], FRAMES["transcriptions"])
 
 
 BASE = ["Lieve Vader en Moeder,", "het eten was vandaag weer goed en", "de kok ging mee naar het dorp"]
