@@ -61,7 +61,12 @@ def mapped(text: Column) -> Column:
     def udf(s: pd.Series) -> pd.Series:
         return s.map(usual, na_action="ignore")
 
-    return F.coalesce(udf(F.when(text.rlike(SUSPECT), text)), text)
+    return F.coalesce(udf(F.when(suspect(text), text)), text)
+
+
+def suspect(text: Column) -> Column:
+    """Whether the text could change. All such characters take more than one byte, which is told faster than a class."""
+    return (F.length(text) != F.octet_length(text)) & text.rlike(SUSPECT)
 
 
 def classes(values: DataFrame, col: str) -> DataFrame:
@@ -91,12 +96,13 @@ def unify(df: DataFrame, col: str, into: str = "canonical_text") -> DataFrame:
 def stored_differently(df: DataFrame, col: str, key: Column) -> DataFrame:
     """The distinct keys of the rows whose text is not stored as the canonical member of its class.
 
-    Rows whose text has no suspect character are canonical members as they stand, so only the others are carried.
+    A mapped form has no suspect character that could be mapped further and is composed, so that the members of a class
+    without such a character are its canonical member as they stand: only the others go into classes.
     """
-    rows = df.select(key.alias("record_id"), F.col(col).alias("text")).where(F.col("record_id").isNotNull() & F.col("text").isNotNull())
+    rows = df.select(key.alias("record_id"), F.col(col).alias("text")).where(F.col("record_id").isNotNull() & F.col("text").isNotNull() & suspect(F.col(col)))
     c = classes(rows, "text")
     changed = c.where(F.col("value") != F.col("canonical")).select("value")
-    return rows.where(F.col("text").rlike(SUSPECT)).join(changed, F.col("text") == F.col("value"), "left_semi").select("record_id").distinct()
+    return rows.join(changed, F.col("text") == F.col("value"), "left_semi").select("record_id").distinct()
 
 
 def found(transcriptions: DataFrame, gold: DataFrame) -> DataFrame:

@@ -107,5 +107,16 @@ def queries():
     return {k: f for k, f in globals().items() if k.startswith("p") and k[1:2].isdigit()}
 
 
+def _p7_sql() -> str:
+    """The same rows by a plain rule: an odd character, a text that isn't composed, or a word with look-alike letters."""
+    odd = "[" + forms.INVISIBLE + forms.SPACES + forms.HYPHENS + "".join(forms.LIGATURES) + "\uff01-\uff5e]"
+    word = "\\p{L}+(?:[.''-]\\p{L}+)*"
+    other = "regexp_replace(w, '[^" + forms.OTHER + "]', '', 'g')"
+    alike = f"{other} <> '' and regexp_replace({other}, '[{forms.ALIKE_FROM}]', '', 'g') = '' and (length({other}) > 1 or length({other}) < length(regexp_replace(w, '[^\\p{{L}}]', '', 'g')))"
+    rule = lambda c: f"(regexp_matches({c}, '{odd}') or nfc_normalize({c}) <> {c} or len(list_filter(regexp_extract_all({c}, '{word}'), lambda w: {alike})) > 0)"
+    key = " || '|' || ".join(["page_id", "engine", "model", "prompt_version", "variant", "sample_no", "line_no"])
+    return f"select distinct 'transcriptions' as table_name, {key} as record_id from transcriptions where text is not null and {key} is not null and {rule('text')} union all select distinct 'gold', page_id from gold where page_id is not null and gold_text is not null and {rule('gold_text')}"
+
+
 def oracle_sql():
-    return {}
+    return {"p7_found": _p7_sql()}
