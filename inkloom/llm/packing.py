@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from inkloom.session import cut
+
 CAPACITY = 4096
 NONE = "(none)"
 #: Tokens of a shard; bounds what one task holds (ids and sizes only, never texts).
@@ -28,7 +30,7 @@ _loaded: dict[str, object] = {}
 def default_tokenizer() -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.json")
+    return public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
 def _tokenizer(path: str):
@@ -38,6 +40,16 @@ def _tokenizer(path: str):
 
             sp = sentencepiece.SentencePieceProcessor(model_file=path)
             _loaded[path] = lambda texts: [len(x) for x in sp.encode(texts, num_threads=1)]
+        elif path.endswith(".tiktoken"):
+            import base64
+
+            import public_tokenizers
+            import tiktoken
+
+            with open(path, "rb") as f:
+                ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+            e = tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+            _loaded[path] = lambda texts: [len(e.encode_ordinary(x)) for x in texts]
         else:
             from tokenizers import Tokenizer
 
@@ -128,6 +140,7 @@ def pack(sized: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id", tar
     Every document is placed exactly once, also of 0 tokens; equal input gives equal windows. `window` is a string of
     shard and number. An empty table gives an empty result.
     """
+    sized = cut(sized)  # ids and sizes: they are read three times, the texts once
     totals = sized.groupBy("source").agg(F.sum("n_tokens").alias("n")).collect()  # a row for each source
     total = sum(r["n"] or 0 for r in totals)
     wanted = {r["source"]: (target.get(r["source"], 0.0) if target else (r["n"] or 0) / max(1, total)) for r in totals}
