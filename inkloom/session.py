@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,3 +51,16 @@ def small(df: DataFrame, most_rows: int) -> bool:
 def maybe_broadcast(df: DataFrame, most_rows: int) -> DataFrame:
     """df marked for broadcasting if it has at most `most_rows` rows, else df as it is (a shuffled join)."""
     return F.broadcast(df) if small(df, most_rows) else df
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends the library to the executors once for each application, so that it need not be installed on them."""
+    app = spark.sparkContext.applicationId
+    if app not in _shipped:
+        package = Path(__file__).resolve().parent
+        at = shutil.make_archive(str(Path(tempfile.mkdtemp(prefix="inkloom-")) / "inkloom"), "zip", package.parent, package.name)
+        spark.sparkContext.addPyFile(at)
+        _shipped.add(app)
