@@ -3,7 +3,8 @@
 Method: minimax conditional entropy. An item is a slot of a line (a word of the pivot reading, or the gap before one);
 the labels are what the annotators read there. The probability that annotator i gives label k where c is true is
 proportional to exp((s_i + t_j) [k = c]), with a tilting parameter s_i for the annotator and t_j for the item, fitted by
-dual coordinate ascent with an L2 penalty on both, alternating with the label posteriors. Agreement is reported apart.
+dual coordinate ascent with an L2 penalty on both, alternating with the label posteriors until neither moves any more.
+Agreement is reported apart.
 
 Only what differs from the pivot is carried as rows; agreement with it follows from sums over the page's readings, so
 that a page with very many readings stays a sum. One coordinate step uses the expected counts of the page for items
@@ -13,6 +14,7 @@ without dissent.
 from __future__ import annotations
 
 import math
+import warnings
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -22,8 +24,9 @@ from pyspark.sql import functions as F
 from inkloom.llm.readings import compare, each_batch, whole, with_pivot
 from inkloom.session import cut
 
-#: Rounds of posteriors and parameters; L2 penalties of annotators and items; labels thought possible for an item.
-ROUNDS = 2
+#: Rounds of posteriors and parameters, at least and at most; they end when no parameter moves by MOVED any more.
+ROUNDS, MOST_ROUNDS, MOVED = 3, 30, 1e-3
+#: L2 penalties of annotators and items; labels thought possible for an item.
 L2_ANNOTATOR, L2_ITEM, LABELS = 2.0, 4.0, 12
 ABSENT = -1
 FIRST = 4.0
@@ -80,8 +83,8 @@ def fit(reads: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame, D
     log_k = math.log(LABELS - 1)
     line, slot = W.partitionBy("page_id", "line"), W.partitionBy("page_id", "line", "slot")
     absent = F.col("slot") == ABSENT
-    state = None
-    for turn in range(rounds + 1):
+    state, moved = None, math.inf
+    for turn in range(max(rounds, MOST_ROUNDS) + 1):
         # One annotator may hold a third of all rows: its parameter goes to every salt.
         salted = known.select("annotator", "s", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
         p = _sigmoid(F.col("s") - log_k)
@@ -97,18 +100,20 @@ def fit(reads: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame, D
         else:
             lab = lab.join(state.where("first").select("page_id", "line", "slot", F.col("new_t").alias("t")), ["page_id", "line", "slot"])
         ahead = F.col("w") - F.col("pivot_w") + F.col("t") * (F.col("n") - F.col("pivot_n"))
-        lab = lab.withColumn("e", F.when(F.col("voted"), F.exp(F.greatest(F.lit(-300.0), F.least(F.lit(300.0), ahead)))).otherwise(0.0))
+        # Relative to the slot's best label, so that no exponential of a page with very many readings is cut off.
+        lab = lab.withColumn("ahead", F.when(F.col("voted"), ahead)).withColumn("top", F.greatest(F.lit(0.0), F.max("ahead").over(slot)))
+        lab = lab.withColumns({"e": F.when(F.col("voted"), F.exp(F.col("ahead") - F.col("top"))).otherwise(0.0), "e_pivot": F.exp(-F.col("top"))})
         lab = lab.withColumns({"z": F.sum("e").over(slot), "zn": F.sum(F.col("e") * F.col("n")).over(slot), "first": F.row_number().over(slot.orderBy("voted", "label")) == 1})
         voters = F.greatest(F.col("pivot_n") + F.col("dissent"), F.lit(1))
-        hits = (F.col("pivot_n") + F.col("zn")) / (1 + F.col("z"))
+        hits = (F.col("e_pivot") * F.col("pivot_n") + F.col("zn")) / (F.col("e_pivot") + F.col("z"))
         new_t = (hits - F.col("page_p") * voters / F.col("page_n")) / (F.col("page_w") * voters / F.col("page_n") + L2_ITEM)
         state = cut(
             lab.select(
                 "page_id", "line", "slot", "label", "voted", "n", "dissent", "first", voters.alias("n_votes"),
-                (F.col("e") / (1 + F.col("z"))).alias("q"), (1 / (1 + F.col("z"))).alias("q_pivot"), F.greatest(F.lit(-3.0), F.least(F.lit(3.0), new_t)).alias("new_t"),
+                (F.col("e") / (F.col("e_pivot") + F.col("z"))).alias("q"), (F.col("e_pivot") / (F.col("e_pivot") + F.col("z"))).alias("q_pivot"), "t", F.greatest(F.lit(-3.0), F.least(F.lit(3.0), new_t)).alias("new_t"),
             )
         )
-        if turn == rounds:
+        if turn >= rounds and moved < MOVED:
             break
         # Expected mistakes of each annotator: where it followed the pivot, where it didn't.
         lost = state.where("first AND dissent > 0").groupBy("page_id").agg(F.sum(1 - F.col("q_pivot")).alias("lost"))
@@ -116,7 +121,7 @@ def fit(reads: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame, D
         own = diff.select("page_id", "annotator", "line", "slot", "label", "voted").join(state.select("page_id", "line", "slot", "label", "voted", "q", "q_pivot"), ["page_id", "line", "slot", "label", "voted"])
         own = own.groupBy("annotator").agg(F.sum(F.col("q_pivot") - 1 + F.when(F.col("voted"), 1 - F.col("q")).otherwise(0.0)).alias("more"))
         wrong = follow.unionByName(own).groupBy("annotator").agg(F.sum("more").alias("wrong"))
-        k = known.select("annotator", "n_readings", "n_slots").join(wrong, "annotator", "left")
+        k = known.select("annotator", "n_readings", "n_slots", F.col("s").alias("old_s")).join(wrong, "annotator", "left")
         right = F.greatest(F.lit(0.0), F.col("n_slots") - F.greatest(F.lit(0.0), F.coalesce("wrong", F.lit(0.0))))
         k = k.withColumn("accuracy", (right + 9) / (F.col("n_slots") + 10))
         # Newton steps on the penalised dual, from the unpenalised optimum.
@@ -124,7 +129,12 @@ def fit(reads: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame, D
         for _ in range(2):
             p = _sigmoid(F.col("s") - log_k)
             k = k.withColumn("s", F.col("s") + ((F.col("accuracy") - p) * F.col("n_slots") - L2_ANNOTATOR * (F.col("s") - FIRST)) / (p * (1 - p) * F.col("n_slots") + L2_ANNOTATOR))
-        known = cut(k.select("annotator", "n_readings", "n_slots", F.greatest(F.lit(0.1), F.least(F.lit(12.0), F.col("s"))).alias("s"), "accuracy"))
+        known = cut(k.select("annotator", "n_readings", "n_slots", F.greatest(F.lit(0.1), F.least(F.lit(12.0), F.col("s"))).alias("s"), "accuracy", "old_s"))
+        steps = [known.agg(F.max(F.abs(F.col("s") - F.col("old_s")))), state.agg(F.max(F.abs(F.col("new_t") - F.col("t"))))]
+        moved = max(x.first()[0] or 0.0 for x in steps)
+    else:
+        warnings.warn(f"the fit still moved by {moved} after {turn + 1} rounds")
+    known = known.drop("old_s")
     slots = state.where("first AND dissent > 0").select("page_id", "line", "slot", "n_votes", "q_pivot", F.col("new_t").alias("t"))
     return state.where("voted").select("page_id", "line", "slot", "label", "n", "q", "q_pivot"), slots, known
 

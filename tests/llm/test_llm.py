@@ -97,6 +97,23 @@ def test_consensus(spark):
     assert 0.8 < a["agreement"] < 1
 
 
+def test_consensus_converges(spark):
+    rng = random.Random(5)
+    said = {}
+    for who, wrong in ((("local", 0), 0.3), (("local", 1), 0.3), (("cloud", 0), 0.2), (("cloud", 1), 0.05)):
+        said[who] = [" ".join(rng.choice("xyz") + w if rng.random() < wrong else w for w in x.split()) for x in BASE * 4]
+    r = readings.with_pivot(_readings(spark, said)).where("n >= 3")
+    got, far = ({x["annotator"]: x["s"] for x in f[2].collect()} for f in (consensus.fit(r), consensus.fit(r, 12)))
+    assert all(abs(got[a] - far[a]) < 1e-3 for a in got)
+
+
+def test_consensus_of_many_readings(spark):
+    rows = [("p", "local", "m", "v", "x", i, 1, f"de {'kok' if i == 0 else 'kop' if i % 3 else 'kol'} ging", "h", None) for i in range(600)]
+    lab, _, _ = consensus.fit(readings.with_pivot(spark.createDataFrame(rows, FRAMES["transcriptions"])))
+    q = {r["label"]: r["q"] for r in lab.collect()}
+    assert q["kop"] > 0.99 and q["kol"] < 0.01
+
+
 def test_alignment():
     ref = [readings.tokens(x) for x in BASE]
     assert readings.align_lines(ref, ref[1:]) == [1, 2] and readings.align_lines(ref, []) == []
