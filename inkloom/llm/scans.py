@@ -51,7 +51,7 @@ def _buckets(s: str, bits: int) -> tuple[int, int]:
 
 
 class Counts:
-    """The sketch: how often clean texts hold a word, or a pair of neighbours."""
+    """The sketch: how many different clean texts hold a word, or a pair of neighbours."""
 
     def __init__(self, words: np.ndarray, pairs: np.ndarray):
         self.words, self.pairs = words, pairs
@@ -76,7 +76,7 @@ class Counts:
 
 
 def counts(texts: DataFrame, col: str = "text") -> Counts:
-    """The sketch of all non-null texts of `col`: occurrences of words and of pairs of neighbours."""
+    """The sketch of all different non-null texts of `col`; a word or a pair of neighbours counts once for each text."""
 
     def run(batches):
         for b in batches:
@@ -84,11 +84,11 @@ def counts(texts: DataFrame, col: str = "text") -> Counts:
             pairs: Counter = Counter()
             for t in b["t"]:
                 w = lex_words(t)
-                words.update(w)
-                pairs.update(zip(w, w[1:]))
+                words.update(set(w))
+                pairs.update(set(zip(w, w[1:])))
             yield pd.DataFrame({"s": [*words, *(" ".join(p) for p in pairs)], "n": [*words.values(), *pairs.values()]})
 
-    each = texts.select(F.col(col).alias("t")).where(F.col("t").isNotNull()).mapInPandas(run, "s string, n bigint")
+    each = texts.select(F.col(col).alias("t")).where(F.col("t").isNotNull()).distinct().mapInPandas(run, "s string, n bigint")
     h = each.groupBy("s").agg(F.sum("n").alias("n"))
     mask = lambda x, bits: x.bitwiseAND(F.lit((1 << bits) - 1))
     pair = F.col("s").contains(" ")

@@ -77,6 +77,12 @@ def test_scan_decoder(spark):
     assert scans.repair(scans.readings(le.limit(0), tr.limit(0)), c).count() == 0
 
 
+def test_scan_counts_each_text_once(spark):
+    c = scans.counts(spark.createDataFrame([("de kok en de kok",)] * 5 + [("de kok ging",), (None,)], "text string"))
+    assert (c.word("kok"), c.word("en"), c.word("ging"), c.total) == (2, 1, 1, 6.0)
+    assert min(int(c.pairs[k][b]) for k, b in enumerate(scans._buckets("de kok", scans.PAIR_BITS))) == 2
+
+
 def _readings(spark, texts):
     rows = [("p", e, "m", "v", "x", s, i + 1, t, "h", None) for (e, s), ls in texts.items() for i, t in enumerate(ls)]
     return spark.createDataFrame(rows * 2 + [(None, "e", "m", "v", "x", 0, 1, "a", "h", None), ("q", "local", "m", "v", "x", 0, 1, None, "h", None), ("p", None, None, None, None, None, 1, BASE[0], None, None)], FRAMES["transcriptions"])
