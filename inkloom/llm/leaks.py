@@ -152,17 +152,16 @@ class Matcher:
             return found
         doc = stream(text)
         rev = None
-        done: set[tuple[int, int]] = set()
+        done: dict[tuple[int, int], int] = {}
         for end, (size, where) in self.machine.iter(doc):
             begin = end - size + 1
             for k, i in where:
                 ws = self.items[k]
-                # A seed that a passage already found covers needs no second look.
+                # A seed inside the item words that a passage already found covers needs no second look.
                 offset = begin - sum(map(len, ws[:i]))
-                if (k, offset) in done:
-                    continue
-                done.add((k, offset))
                 n = min(PIECE, len(ws) - i)
+                if i + n <= done.get((k, offset), 0):
+                    continue
                 right = _extend(ws, i + n, doc, end + 1, 1)
                 rev = rev if rev is not None else doc[::-1]
                 left = _extend(self.back[k], len(ws) - i, rev, len(doc) - begin, -1)
@@ -171,8 +170,9 @@ class Matcher:
                 # A sentence built on the item's pattern goes on beside its longest run, changed too often; a passage ends.
                 if LEAST <= got < SURE and chain.count(False) - (not chain[0]) - (not chain[-1]) > 0.12 * len(chain):
                     continue
-                if got >= LEAST and got > found.get(k, 0):
-                    found[k] = got
+                if got >= LEAST:
+                    done[k, offset] = i + n + len(right)
+                    found[k] = max(got, found.get(k, 0))
         return found
 
 

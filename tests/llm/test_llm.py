@@ -189,6 +189,19 @@ def test_leaks(spark):
     assert leaks.found(d.limit(0), items).count() == 0 and leaks.found(d, items.limit(0)).count() == 0
 
 
+LONG = "Seven lanterns hung above the narrow quay while the quartermaster counted wet blankets, biscuits and rope, and nobody noticed how the youngest sailor carried his accordion quietly along the muddy gangway towards the lighted village square."
+
+
+def _swapped(w):
+    return w[1] + w[0] + w[2:]
+
+
+def test_leak_after_a_broken_likeness():
+    w = LONG.split()
+    altered = [_swapped(x) if i in (5, 7, 9, 11, 13) else x for i, x in enumerate(w)]
+    assert leaks.Matcher([(1, LONG)]).match(" ".join(altered)).get(1, 0) >= 18
+
+
 def test_levels(spark):
     rng = random.Random(4)
     easy, hard, plain = "kat hond bal mama papa bus tuin ziet heeft loopt".split(), "representatie prosopografische methodologische bronnenkritiek contextualisering impliceert veronderstelt historiografische".split(), "kapitein vertelde gisteren barakken ontvangen koffie vrachtwagen schuilen briefje omdat".split()
