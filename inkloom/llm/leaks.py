@@ -25,7 +25,7 @@ from inkloom.llm.forms import usual
 
 PIECE = 5
 LEAST = 14
-#: Shorter passages must not be part of a longer likeness that is changed too often.
+#: Shorter passages without LEAST unchanged words in a row must not be part of a longer likeness that is changed too often.
 SURE = 20
 #: Characters of all items that one broadcast holds; a larger item set is matched in blocks of this size.
 BLOCK_CHARS = 20_000_000
@@ -129,6 +129,15 @@ def longest(flags: list[bool]) -> int:
     return best
 
 
+def literal(flags: list[bool]) -> int:
+    """Words of the longest run without a change."""
+    best = n = 0
+    for f in flags:
+        n = n + 1 if f else 0
+        best = max(best, n)
+    return best
+
+
 class Matcher:
     def __init__(self, items: list[tuple[int, str]]):
         import ahocorasick
@@ -168,7 +177,8 @@ class Matcher:
                 chain = left[::-1] + [True] * n + right
                 got = longest(chain)
                 # A sentence built on the item's pattern goes on beside its longest run, changed too often; a passage ends.
-                if LEAST <= got < SURE and chain.count(False) - (not chain[0]) - (not chain[-1]) > 0.12 * len(chain):
+                # LEAST words in a row as they were are a case whatever stands beside them.
+                if LEAST <= got < SURE and literal(chain) < LEAST and chain.count(False) - (not chain[0]) - (not chain[-1]) > 0.12 * len(chain):
                     continue
                 if got >= LEAST:
                     done[k, offset] = i + n + len(right)

@@ -202,6 +202,13 @@ def test_leak_after_a_broken_likeness():
     assert leaks.Matcher([(1, LONG)]).match(" ".join(altered)).get(1, 0) >= 18
 
 
+def test_literal_leak_beside_a_likeness():
+    w = LONG.split()
+    altered = [x[0] + "x" + x[2:] if i in (15, 17, 19) else x for i, x in enumerate(w[:21])]
+    text = " ".join(altered) + " en toen gingen wij naar huis"
+    assert leaks.Matcher([(1, LONG)]).match(text).get(1, 0) >= 14
+
+
 def test_levels(spark):
     rng = random.Random(4)
     easy, hard, plain = "kat hond bal mama papa bus tuin ziet heeft loopt".split(), "representatie prosopografische methodologische bronnenkritiek contextualisering impliceert veronderstelt historiografische".split(), "kapitein vertelde gisteren barakken ontvangen koffie vrachtwagen schuilen briefje omdat".split()
