@@ -1,7 +1,8 @@
 """Values that stop too early, and how often each source cuts (problem 6).
 
 Method: a structural check with a stack automaton (unclosed quotes, brackets and markup, broken multibyte sequences and
-escapes at the end) and the missing terminators against each source's baseline. What the end should be is known from
+escapes at the end), which decides for summaries and where the readings of a line agree on its end. Terminators tell
+little here: a source's baseline can't part a cut sentence from one that only lacks its full stop. What the end should be is known from
 the other readings of the same line, aligned to the page's pivot: per line the end that most readings reach is a sum
 over readings, and a row is cut if its own end lies before it. For summaries, words that end sentences in the corpus
 tell a sentence that only lacks its full stop from one that stops within.
@@ -25,7 +26,8 @@ LEAST = 3
 LIMIT_SHARE, LIMIT_BEYOND, LIMIT_ROWS = 0.03, 0.3, 20
 OPEN = {"(": ")", "[": "]", "{": "}", "“": "”", "„": "”", "«": "»", "‘": "’"}
 _tag = re.compile(r"<(/?)([a-zA-Z][\w-]*)[^<>]*?(/?)>")
-_end = re.compile(r"[.!?…:;][\"'”’)\]]*$")
+_elided = re.compile(r"‘(?=[stnmrk]\b)", re.I)  # 's, 't and the like, with the wrong sign
+_no_escape = re.compile(r"(?:(?:^|\s)&|\d\s?%)$")
 
 
 def structure(text: str) -> str:
@@ -58,9 +60,25 @@ def structure(text: str) -> str:
     return ",".join(out)
 
 
+def unclosed(text: str, after: list[str] = ()) -> str:
+    """What structure() finds open at the end of a text and the texts after it don't close. An ampersand that stands
+    alone and a percentage are no broken escapes."""
+    t = _elided.sub("'", text)
+    here = structure(t)
+    if not here:
+        return ""
+    kinds = [k for k in here.split(",") if k != "escape" or not _no_escape.search(text)]
+    for x in after:
+        t += " " + _elided.sub("'", x)
+        now = structure(t).split(",")
+        kinds = [k for k in kinds if k in ("bytes", "escape") or k in now]
+    return ",".join(kinds)
+
+
 def _ends(reads: DataFrame) -> DataFrame:
     """Every row of every reading: KEYS, line_no, line (the pivot's line that it reads), delta (letters by which it goes
-    beyond the pivot's end), words, within, size, last word, open (what the automaton found)."""
+    beyond the pivot's end), words, within, size, last word, open (what the automaton found and
+    no later line of the reading closes)."""
     cols = [*KEYS, "line_no", "line", "delta", "words", "within", "size", "last", "open", "n"]
 
     def run(batches):
@@ -80,7 +98,7 @@ def _ends(reads: DataFrame) -> DataFrame:
                             if k not in memo:
                                 memo[k] = compare(r, h)[1:]
                             delta, words, within = memo[k]
-                    out.append((*key, row.nos[j], int(row.p_nos[i]) if i is not None else None, delta, words, within, len(text), hyp[j][-1] if hyp[j] and text[-1:].isalpha() else "", structure(text), row.n))
+                    out.append((*key, row.nos[j], int(row.p_nos[i]) if i is not None else None, delta, words, within, len(text), hyp[j][-1] if hyp[j] and text[-1:].isalpha() else "", unclosed(text, list(row.texts[j + 1 :])), row.n))
             yield pd.DataFrame(out, columns=cols).astype({"line": "Int32", "sample_no": "Int32"})
 
     schema = "page_id string, engine string, model string, prompt_version string, variant string, sample_no int, line_no int, line int, delta int, words int, within boolean, size int, last string, open string, n bigint"
@@ -104,10 +122,10 @@ def lines(transcriptions: DataFrame) -> DataFrame:
     rows = cut(_ends(with_pivot(transcriptions)))
     aligned = rows.where("line IS NOT NULL")
     # The end that most readings of a line reach; of equally many, the later one.
-    ends = aligned.groupBy("page_id", "line", "delta").agg(F.count("*").alias("k"), F.min("words").alias("w"))
+    ends = aligned.groupBy("page_id", "line", "delta").agg(F.count("*").alias("k"), F.min("words").alias("w"), F.count_if(F.col("open") != "").alias("open_k"))
     top = ends.groupBy("page_id", "line").agg(F.max_by(F.struct("delta", "k", "w"), F.struct("k", "delta")).alias("top"), F.sum("k").alias("readers"))
     top = top.select("page_id", "line", F.col("top.delta").alias("end"), F.col("top.k").alias("backing"), F.col("top.w").alias("end_words"), "readers")
-    own = ends.select("page_id", "line", "delta", F.col("k").alias("like_it"))
+    own = ends.select("page_id", "line", "delta", F.col("k").alias("like_it"), "open_k")
     # Words at which lines of the archive may end: those that are no beginnings of others' words at the same place.
     whole = aligned.where("NOT within AND delta >= 0 AND last <> ''").groupBy("last").agg(F.count_distinct("page_id").alias("pages")).where("pages >= 3").select("last", F.lit(True).alias("whole"))
     # Beginnings of such words, at least three letters short of the whole.
@@ -123,13 +141,21 @@ def lines(transcriptions: DataFrame) -> DataFrame:
     doubtful = (F.col("like_it") >= F.col("backing")) & ~((F.col("within") & (F.col("delta") < 0)) | (F.abs(behind) > 12) | at_limit | stops_within)
     compared = (behind >= LEAST) & ~F.coalesce(doubtful, F.lit(False))
     alone = odd & ((at_limit & stops_within) | F.coalesce("begun", F.lit(False)) | F.col("open").contains("bytes") | F.col("open").contains("markup") | F.col("open").contains("bracket"))
-    why = F.when(~odd & compared, F.when(at_limit, "field limit").otherwise("stops before the line's end")).when(alone, F.when(at_limit, "field limit").when(F.col("open") != "", F.col("open")).otherwise("stops within a word")).when(F.col("open").contains("bytes"), "bytes")
+    # Where the readings agree on the end, what most of them leave open there tells that the line goes on.
+    agreed = ~odd & (F.col("like_it") >= F.col("backing")) & (F.col("open") != "") & (2 * F.col("open_k") > F.col("like_it"))
+    why = F.when(~odd & compared, F.when(at_limit, "field limit").otherwise("stops before the line's end")).when(alone, F.when(at_limit, "field limit").when(F.col("open") != "", F.col("open")).otherwise("stops within a word")).when(agreed, F.col("open")).when(F.col("open").contains("bytes"), "bytes")
     return r.select(*KEYS, "line_no", why.isNotNull().alias("is_cut"), why.alias("why"), "size", "field_limit")
 
 
 def summaries(s: DataFrame, col: str = "summary_en", key: str = "letter_id", source: str = "model") -> DataFrame:
     """(key, source, is_cut, why) of every different non-null text. A text without a terminator is cut if its last word
-    hardly ever ends a sentence in the corpus, or if it has its source's fixed length; an empty text is not cut."""
+    hardly ever ends a sentence in the corpus, or if it has its source's fixed length; any text is cut if the automaton
+    finds something open at its end; an empty text is not cut."""
+
+    @F.pandas_udf("string")
+    def left_open(x: pd.Series) -> pd.Series:
+        return x.map(lambda v: unclosed(v.rstrip()))
+
     t = s.where(F.col(key).isNotNull() & F.col(col).isNotNull()).select(F.col(key).alias("k"), F.col(source).alias("source"), F.col(col).alias("text")).distinct()
     t = t.withColumn("u", F.lower(mapped(F.col("text")))).withColumn("size", F.length("text"))
     # How often a pair of words ends a sentence, of all its occurrences; each different sentence counts once.
@@ -156,8 +182,9 @@ def summaries(s: DataFrame, col: str = "summary_en", key: str = "letter_id", sou
     f3, n3 = F.coalesce("final3", F.lit(0)), F.coalesce("inner3", F.lit(0))
     may_end = F.when(f3 + n3 >= 2, f3 >= 0.1 * (f3 + n3)).when(f2 + n2 >= 3, f2 >= 0.08 * (f2 + n2)).otherwise(f1 >= F.greatest(F.lit(2), 0.3 * (f1 + n1)))
     within_space = F.col("text").rlike(r"\s$")
-    is_cut = open_end & (F.coalesce(F.col("size") == F.col("field_limit"), F.lit(False)) | ~may_end | within_space)
-    why = F.when(is_cut, F.when(F.coalesce(F.col("size") == F.col("field_limit"), F.lit(False)), "field limit").otherwise("stops within a sentence"))
+    t = t.withColumn("open", left_open("text"))
+    is_cut = (F.col("open") != "") | open_end & (F.coalesce(F.col("size") == F.col("field_limit"), F.lit(False)) | ~may_end | within_space)
+    why = F.when(is_cut, F.when(F.coalesce(F.col("size") == F.col("field_limit"), F.lit(False)), "field limit").when(F.col("open") != "", F.col("open")).otherwise("stops within a sentence"))
     return t.select(F.col("k").alias(key), F.col("source").alias(source), is_cut.alias("is_cut"), why.alias("why"), "text")
 
 

@@ -144,6 +144,14 @@ def test_truncated(spark):
     assert truncation.found(tr.limit(0), sm.limit(0)).count() == 0
 
 
+def test_truncated_by_structure(spark):
+    sm = spark.createDataFrame([(f"L{i}", "x", t, None, [], "m", None) for i, t in enumerate(["He went (as usual home again.", "He said “we go home again.", "He went (as usual) home again."])], FRAMES["summaries"])
+    assert sorted(r["letter_id"] for r in truncation.summaries(sm).where("is_cut").collect()) == ["L0", "L1"]
+    page = [BASE[0], "het eten was vandaag (en dat is", "echt waar) weer goed en 's avonds ook", "de kok ging mee naar het [dor"]
+    tr = _readings(spark, {(e, i): page for e in ("local", "cloud") for i in (0, 1)})
+    assert {r["line_no"] for r in truncation.lines(tr).where("is_cut").collect()} == {4}
+
+
 def test_packing(spark):
     rng = random.Random(2)
     rows = [(i, rng.choice(["a", "b", None]), rng.choice([0, 5, 300, 900, 2000, 4096, 9000])) for i in range(400)]
