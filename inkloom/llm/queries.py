@@ -68,8 +68,11 @@ def p7_found(spark, d):
 
 
 def p7_unified(spark, d):
-    u = forms.unify(t(spark, d, "gold"), "gold_text", "text")
-    return u.select("page_id", "text")
+    """Every row of both tables with its key and its text in the one form, of classes over both tables."""
+    key = [*readings.KEYS, "line_no"]
+    a = t(spark, d, "transcriptions").select(F.lit("transcriptions").alias("table_name"), *key, F.col("text").alias("stored"))
+    b = t(spark, d, "gold").select(F.lit("gold").alias("table_name"), "page_id", F.col("gold_text").alias("stored"))
+    return forms.unify(a.unionByName(b, allowMissingColumns=True), "stored", "text").select("table_name", *key, "text")
 
 
 def p8_found(spark, d):

@@ -3,7 +3,7 @@ import random
 
 import pytest
 
-from inkloom.llm import consensus, forms, leaks, levels, names, packing, readings, scans, terms, truncation
+from inkloom.llm import consensus, forms, leaks, levels, names, packing, queries, readings, scans, terms, truncation
 from inkloom.sources.schemas import FRAMES
 
 ENT = "letter_id string, kind string, name string, canonical string, detail string, context string, who string, n bigint, s string"
@@ -28,6 +28,14 @@ def test_forms_found(spark):
     assert u["café"] == u["café"] == "café" and u[None] is None
 
 
+def test_unified_covers_both_tables(spark, tmp_path):
+    rows = [("p", "e", "m", "v", "x", 0, i, t, "high", None) for i, t in enumerate(["bоrd", "bord", None, "cafe\u0301"])]
+    spark.createDataFrame(rows, FRAMES["transcriptions"]).write.parquet(f"{tmp_path}/transcriptions.parquet")
+    spark.createDataFrame([("g", "caf\u00e9"), ("h", None)], "page_id string, gold_text string").write.parquet(f"{tmp_path}/gold.parquet")
+    got = {(r["table_name"], r["page_id"], r["line_no"]): r["text"] for r in queries.p7_unified(spark, str(tmp_path)).collect()}
+    assert got == {("transcriptions", "p", 0): "bord", ("transcriptions", "p", 1): "bord", ("transcriptions", "p", 2): None, ("transcriptions", "p", 3): "caf\u00e9", ("gold", "g", None): "caf\u00e9", ("gold", "h", None): None}
+
+
 def test_terms(spark):
     ref = spark.createDataFrame([(1, "place", "Lormooekburg", [], "x"), (2, "place", "Tubperkwerat", ["Ngaoeksari"], "x"), (3, "role", "ship's cook", ["scheepskok"], None), (4, "role", "army chaplain", None, None)], "term_id bigint, kind string, term string, alt_terms array<string>, area string")
     rows = [("A-1", "place", "Lormooekburg", None, "bij Loormoekburg"), ("A-1", "place", "Tubperk werad", None, "Ngaoeksari (stad)"), ("A-1", "person", "x", None, "the ship'z cook"), ("A-1", "person", "x", None, "ARMY CHAPLIAN"), ("A-1", "person", "x", None, "acrobat"), ("A-1", "person", "x", None, ""), ("A-1", "person", "x", None, None), (None, "person", "x", None, "acrobat"), ("A-1", "person", "x", None, "y" * 20_000)]
