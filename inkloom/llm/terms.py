@@ -103,14 +103,16 @@ class Dictionary:
     @staticmethod
     def keys(k: str):
         """Deletions of the whole if it is short; of each half if it is long: of up to five edits, one half has at most
-        two, so that long words with many edits are found without deleting five letters of the whole."""
+        two, so that long words with many edits are found without deleting five letters of the whole. Doubled letters
+        cost half, so that there may be more of them: the form with single letters only has keys of its own."""
+        yield from (("s", d) for d in deletes(re.sub(r"(.)\1+", r"\1", k)))
         if len(k) <= 9:
             yield from (("w", d) for d in deletes(k))
             return
         h = len(k) // 2
         for cut in (h - 2, h - 1, h, h + 1, h + 2):
-            yield from (("a", d) for d in deletes(k[:cut], 1))
-            yield from (("b", d) for d in deletes(k[cut:], 1))
+            yield from (("a", d) for d in deletes(k[:cut]))
+            yield from (("b", d) for d in deletes(k[cut:]))
         yield from (("w", d) for d in deletes(k))
 
     def look(self, k: str) -> tuple[int, float] | None:

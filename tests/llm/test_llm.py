@@ -61,6 +61,12 @@ def test_term_lookup_equals_brute_force():
         assert got is None or got[1] == pytest.approx(near[0][0])
 
 
+def test_terms_with_edits_in_both_halves():
+    d = terms.Dictionary([(1, "abcdefghijklmnopq", 0), (2, "lormkent", 0)])
+    assert d.look("axcdexghijxlmnxpq") == (1, 4.0)
+    assert d.look("lloorrmkent") == (2, 1.5)
+
+
 def test_names(spark):
     same = [["Frederik van den Brandkamp", "Freek v.d. Brandkamp", "Brandkamp, Frits v/d", "F. van den Brandkanp"], ["Wilhelmina van den Brandkamp", "Minnie van den Brandkamp"], ["Scheepswerf Gruiswinckel", "fa. Gruiswinckel, scheepswerf"], ["Elisabeth ter Speltkamp", "Speltkamp Elisabeth", "Elisobeth Ter Speltkamp"]]
     rows = [("A-1", "person", x, None) for g in same for x in g] + [("B-1", "person", "Frits Brandkamp", None), (None, "person", "Frits Brandkamp", "Freek Brandkamp"), ("A-1", "person", None, ""), ("A-1", "place", "Frits Brandkamp", None), ("A-1", "person", "?" * 5, "z" * 5_000)]
