@@ -19,9 +19,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Labelled documents that the models are fitted on, at most, and characters of each that the fit reads.
+#: Labelled documents that the models are fitted on, at most; each is read whole.
 MOST_LABELLED = 4_000
-FIT_CHARS = 20_000
 DIMS = 1 << 15
 LEVELS = 3
 #: Strength of the L2 penalty of the sentence model and of the calibration.
@@ -163,7 +162,7 @@ def train(texts: dict[int, str], labels: pd.DataFrame) -> tuple[SentenceModel, C
     ids, soft = ids[keep], soft[keep]
     if len(ids) < 6 or len(set(soft.argmax(1))) < 2:
         return None
-    docs = [sentences(texts[i][:FIT_CHARS]) for i in ids]
+    docs = [sentences(texts[i]) for i in ids]
     fold = np.array([zlib.crc32(str(i).encode()) % 2 for i in ids])
     x = np.zeros((len(ids), 8))
     for k in (0, 1):
@@ -182,7 +181,7 @@ def levels(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str
     lab = labels.where("doc_id IS NOT NULL AND level IN (1, 2, 3)").select("doc_id", "rater", "level")
     chosen = lab.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(MOST_LABELLED)
     lab = lab.join(F.broadcast(chosen), "doc_id").toPandas()
-    texts = {r["doc_id"]: r["text"] for r in d.join(F.broadcast(chosen), "doc_id").select("doc_id", F.substring("text", 1, FIT_CHARS).alias("text")).collect()}
+    texts = {r["doc_id"]: r["text"] for r in d.join(F.broadcast(chosen), "doc_id").select("doc_id", "text").collect()}
     models = train(texts, lab)
     shared = docs.sparkSession.sparkContext.broadcast((models[0].weights, models[0].bias, models[1]) if models else None)
 

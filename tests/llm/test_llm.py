@@ -242,3 +242,12 @@ def test_levels(spark):
     right = sum(got[i] == i % 3 + 1 for i in range(60, 120))
     assert right >= 57 and 900 not in got and got[903] == got[904] == 1
     assert levels.found(d, lab.limit(0)).count() == 0 and levels.found(d.limit(0), lab).count() == 0
+
+
+def test_levels_train_on_whole_texts(monkeypatch):
+    seen = []
+    fit = levels.SentenceModel.fit
+    monkeypatch.setattr(levels.SentenceModel, "fit", lambda self, docs, soft: seen.append(max(map(len, docs))) or fit(self, docs, soft))
+    texts = {i: ("kat ziet bal. " if i % 2 else "bronnenkritiek impliceert representatie. ") * (2000 if i == 0 else 3) for i in range(12)}
+    levels.train(texts, levels.pd.DataFrame([(i, r, 1 if i % 2 else 3) for i in texts for r in "ab"], columns=["doc_id", "rater", "level"]))
+    assert max(seen) == len(levels.sentences(texts[0]))
