@@ -2,13 +2,18 @@
 
 Method: suffix blocking. The family-name tokens of a collection are indexed by their suffixes (and, as typos also fall
 on the last letters, by the suffixes of the reversed token) above a minimum length. A suffix that is shared by too many
-is not discarded at once: its block is first refined by another field, the token's first letter and length. Pairs within
-a block are compared by the ratio of their longest common subsequence; a rare spelling joins the best supported one that
-is close enough. Within a family the given names (nicknames, initials, abbreviations, none) and what the archive's own
-canonical column says decide who is meant.
+is not discarded at once: its block is first refined by what else the names share, a pair of letters of the rest and the
+length. Pairs within a block are compared by the ratio of their longest common subsequence; a rare spelling joins the
+best supported one that is close enough. Within a family the given names (short forms, initials, abbreviations, none) and
+what the archive's own canonical column says decide who is meant.
+
+No list of given names or trades is typed in. Which given name is short for which is learned from the archive: pairs
+that name and canonical set equal in several families. Spelling mistakes of given names are found by the same suffix
+blocking. Trades are the words that stand in firms' names all over the archive.
 
 A family's different spellings in one collection are one small group; rows are counted into spellings before, so that a
-collection with a third of all rows brings no more than its different spellings.
+collection with a third of all rows brings no more than its different spellings. What is learned stays in tables that
+are joined; nothing is collected.
 """
 
 from __future__ import annotations
@@ -18,69 +23,57 @@ import unicodedata
 from collections import Counter, defaultdict
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from inkloom.llm.forms import usual
-from inkloom.session import cut
+from inkloom.session import cut, maybe_broadcast, parts
 
 MIN_SUFFIX = 3
-#: Members of a suffix block beyond which it is refined by first letter and length.
+#: Members of a suffix block beyond which it is refined by the pairs of letters of the rest.
 COMMON = 60
 RATIO = 0.8
-#: Different spellings that make a family name established: two established names are two families.
-ESTABLISHED = 3
-# Titles, particles, firm marks and trades as they stand in names.
+#: Families in which two given names must stand for one another, and the share of the best partner's that another needs.
+LEARNED, BESIDE = 2, 0.25
+#: Collections in which a trade must stand with a firm's mark, and the share of its spellings that carry one.
+TRADE_PLACES, TRADE_SHARE = 3, 0.3
+# Titles, particles and firm marks as they stand in names, and the endings of Dutch trades.
 TITLES = set("dr drs ds mr ir ing prof mej mevr mw juffr juf kapt kap luit lt serg sgt maj kol korp gen zr zuster br broeder past pastoor pater heer hr dhr mrs miss ms sir rev capt frau herr zus oom tante wed".split())
 PARTICLES = set("van v de den der d ter t te ten vd vdd vander vanden vande het 't la le von zu of".split())
 FIRM = set("fa firma gebr gebrs gebroeders nv n.v bv zn zonen zoon co cie comp en & und and".split())
+MARKS = set("fa firma gebr gebrs gebroeders nv n.v bv zn zonen cie".split())
 TRADE_ENDS = ("erij", "handel", "fabriek")
-TRADES = "bakkerij drukkerij scheepswerf touwslagerij rijwielfabriek zaadhandel brouwerij smederij slagerij timmerwerf boekhandel kruidenierswinkel steenfabriek zeilmakerij meubelfabriek".split()
-# Dutch given names with their usual short forms.
-NICKNAMES = {
-    "everhard": "eef evert ewoud eb eef", "frederik": "frits freek fred frek rik", "elisabeth": "lies bets bep betje els lijs liesbeth elsje", "ottilia": "ottie til tilly tilla",
-    "pieter": "piet peer pt piter", "bernardus": "ben bernd bernard berend bart", "leonardus": "leen leo leon leonard", "gerardus": "gerrit ger gerard geert", "ida-marie": "ietje idemie ida iem im i.m idamarie",
-    "willem": "wim wm willy wil", "rudolf": "ruud dolf rud rudi", "geertruida": "truus geertje trui geertr gees", "antonie": "toon ton anton teun ant", "nicolaas": "nico klaas nic nicolas", "petronella": "nel pietje nelly pet petro piet pietronella",
-    "wilhelmina": "mien minnie willy wilh mina mineke", "albertus": "bertus bert albert ab alb appie", "valentijn": "tijn val valentin", "sebastiaan": "bas bastiaan seb", "ursula": "uus ursel urs uschi", "zacharias": "zach zacheus zachar",
-    "catharina": "trijn toos cath cato kaatje trijntje to", "margaretha": "greet griet marg gretha greta", "cornelis": "kees cor corn cornelius nelis", "theodorus": "theo dorus th door theodoor", "johannes": "hans joop joh jan johan jo", "susanna": "suus sanne sus suze",
-    "hendrik": "henk hein hendr rik henri", "adriaan": "adri janus adr arie adrianus", "jacobus": "ko koos jac jaap jacob", "maria": "mies marie riet mia", "anna": "an annie ans antje", "hendrika": "riek rika henny", "jacoba": "coba co", "margaretha-anna": "",
-    "gijsbertus": "gijs bert", "lambertus": "bert lam", "hubertus": "huub bert", "martinus": "tinus martin", "laurentius": "laurens lau rens", "franciscus": "frans cis", "dirk": "dick diederik", "adriana": "jaan ada", "helena": "leen lena heleen", "christiaan": "chris christ",
-}
 _word = re.compile(r"[^\s,()]+|,")
+_joined = re.compile(r"\b[vV]\s*[./]\s*[dD]\b\.?")
 
 
 def fold(s: str) -> str:
     return "".join(c for c in unicodedata.normalize("NFD", usual(s).lower()) if not unicodedata.combining(c))
 
 
-def trade(w: str) -> str | None:
-    """The trade that a word is, in full, with a typo or cut short, or None."""
-    k = w.strip(".")
-    if k in TRADES or len(k) > 6 and k.endswith(TRADE_ENDS):
-        return k
-    if w.endswith(".") and len(k) >= 4 and (t := next((t for t in TRADES if t.startswith(k)), None)):
-        return t
-    if len(k) >= 6 and (t := next((t for t in TRADES if lcs_ratio(k, t) >= 0.85), None)):
-        return t
-    return None
+def pieces(s: str) -> tuple[list[str], list[str], bool]:
+    """(tokens, the same as typed, whether all is in capitals) of a name."""
+    raw = usual(s).replace("’", "'")
+    toks = _word.findall(_joined.sub(" vd ", fold(raw)).replace("'t ", " t "))
+    orig = _word.findall(_joined.sub(" vd ", raw).replace("'t ", " t "))
+    return toks, orig if len(orig) == len(toks) else toks, raw.upper() == raw
 
 
-def parse(s: str) -> tuple[str, list[str], str, bool, bool]:
-    """(family name, given names, title or trade, firm?, given or family part certain?) of a name as typed."""
-    raw = usual(s).replace("’", "'")
-    caps = raw.upper() == raw
-    t = re.sub(r"\bv\s*[./]\s*d\b\.?", " vd ", fold(raw)).replace("'t ", " t ")
-    toks = _word.findall(t)
-    orig = _word.findall(re.sub(r"\b[vV]\s*[./]\s*[dD]\b\.?", " vd ", raw).replace("'t ", " t "))
-    orig = orig if len(orig) == len(toks) else toks
+def parse(s: str, trades: dict[str, str]) -> tuple[str, list[str], str, bool, bool]:
+    """(family name, given names, title or trade, firm?, given or family part certain?) of a name as typed.
+
+    trades: tokens of this name that are a trade, in full or cut short, with the trade in full."""
+    toks, orig, caps = pieces(s)
     marks = [w.strip(".") for w in toks]
-    trades = [x for w in toks if w != "," and (x := trade(w))]
-    if trades or any(m in ("fa", "firma", "gebr", "gebrs", "nv", "n.v") for m in marks):
-        core = [w.strip(".,'") for w, m in zip(toks, marks) if w != "," and m not in FIRM and m not in PARTICLES and not trade(w)]
-        return " ".join(core[-1:]) if core else "", core[:-1], trades[0] if trades else "", True, True
+    trade = {w: trades.get(w) or (w.strip(".") if len(w.strip(".")) > 6 and w.strip(".").endswith(TRADE_ENDS) else None) for w in toks}
+    named = [t for w in toks if (t := trade[w])]
+    if named or any(m in MARKS for m in marks):
+        core = [w.strip(".,'") for w, m in zip(toks, marks) if w != "," and m not in FIRM and m not in PARTICLES and not trade[w]]
+        return " ".join(core[-1:]) if core else "", core[:-1], named[0] if named else "", True, True
     title, core, comma = "", [], None
     particle_at = None
-    for k, (w, o) in enumerate(zip(toks, orig)):
+    for w, o in zip(toks, orig):
         if w == ",":
             comma = len(core)
             continue
@@ -134,101 +127,147 @@ def edits(a: str, b: str) -> int:
     return row[-1]
 
 
-def formals(g: str, linked: dict[str, set[str]]) -> set[str]:
-    """The full given names that a given name, short form, abbreviation or initial may stand for."""
-    g = g.strip(".")
-    out = {f for f, short in NICKNAMES.items() if g == f or g in short.split()}
-    out |= linked.get(g, set())
-    if not out and len(g) >= 4:
-        best = max(NICKNAMES, key=lambda f: lcs_ratio(g, f))
-        if lcs_ratio(g, best) >= 0.8 and edits(g, best) <= 3:
-            out = {best}
-        else:
-            out = {f for f, short in NICKNAMES.items() if any(len(n) >= 4 and edits(g, n) <= 1 for n in short.split())}
-    return out
+def likeness(a: str, b: str) -> float:
+    """The ratio, less a little for each edit, of two spellings that may be one name; else 0."""
+    r = lcs_ratio(a, b)
+    n = max(len(a), len(b))
+    d = edits(a, b) if r >= RATIO or n <= 5 and r >= 0.6 else 99
+    # Two names that differ in their first letters only are rather two names.
+    other = a[:1] != b[:1] and not (a[1:] == b[1:] or a[1:3] == b[1:3] and d <= 1)
+    return r - 0.02 * d if d <= (1 if n <= 5 else 2 if n <= 8 else 3) and not (other and d > 1) else 0.0
+
+
+def _likeness(a: str, b: str) -> Column:
+    @F.pandas_udf("double")
+    def udf(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([likeness(u, v) for u, v in zip(x, y)], dtype=float)
+
+    return udf(a, b)
 
 
-def cluster(rows: list[dict], links: list[tuple[str, str, int]], linked: dict[str, set[str]]) -> dict[str, str]:
-    """Who each spelling of one family (or firm name) means: {spelling: label}; a spelling nobody can place is left out.
+def indexed(tokens: DataFrame, group: list[str], token: str) -> DataFrame:
+    """tokens with `block`, one row for each block of a group that the token belongs to.
 
-    rows: s, given (list), title, n. links: (spelling, spelling, count) that stand in one row as name and canonical.
+    The index form has sound-alike letters one and doubled letters single, so that one typo doesn't spoil every suffix.
+    Blocks are the form's suffixes of MIN_SUFFIX letters or more and those of its reverse. A block of more than COMMON
+    members is refined: two of its members are compared if the rest of both is short or shares a pair of letters, and
+    their lengths are near. No block is dropped.
+    """
+    form = F.regexp_replace(F.translate(F.regexp_replace(F.regexp_replace(token, "ck", "k"), "y", "ij"), "zfc", "svk"), r"(.)\1+", "$1")
+    suffixes = lambda c, mark: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(c) - MIN_SUFFIX + 1)), lambda i: F.struct(F.concat(F.lit(mark), F.substring(c, i, F.length(c))).alias("suffix"), F.substring(c, F.lit(1), i - 1).alias("rest")))
+    x = tokens.withColumn("form", form).withColumn("back", F.reverse("form"))
+    x = x.withColumn("x", F.explode(F.concat(suffixes(F.col("form"), ">"), suffixes(F.col("back"), "<")))).drop("form", "back")
+    x = x.select(*tokens.columns, "x.suffix", "x.rest").withColumn("members", F.count("*").over(W.partitionBy(*group, "suffix"))).where("members > 1")
+    two = F.transform(F.sequence(F.lit(1), F.length("rest") - 1), lambda i: F.substring("rest", i, F.lit(2)))
+    shared = F.when(F.length("rest") <= 3, F.array(F.lit("*"))).otherwise(F.array_distinct(F.concat(two, F.when(F.length("rest") <= 6, F.array(F.lit("*"))).otherwise(F.array().cast("array<string>")))))
+    band = F.array_distinct(F.transform(F.array(*map(F.lit, range(4))), lambda k: F.floor((F.length(token) + k) / 4).cast("string")))
+    keys = F.flatten(F.transform(shared, lambda s: F.transform(band, lambda b: F.concat_ws("/", "suffix", s, b))))
+    return x.select(*tokens.columns, F.explode(F.when(F.col("members") <= COMMON, F.array("suffix")).otherwise(keys)).alias("block"))
+
+
+def cluster(rows: list[dict], links: list[tuple[str, str, int]]) -> dict[str, str]:
+    """Who each spelling of one family name in one collection means: {spelling: label}; a spelling nobody can place is
+    left out.
+
+    rows: s, given (the given names as one key, '' for none), fulls (the full names that it may stand for, as learned),
+    title (of a firm its trade), firm, n. links: (spelling, spelling, count) that stand in one row as name and canonical.
     """
     who: dict[str, str] = {}
-    full: Counter = Counter()
-    choices: dict[str, set[str]] = {}
+    trades = Counter(r["title"] for r in rows if r["firm"] and r["title"])
+    persons = []
     for r in rows:
-        g = r["given"]
-        if not g:
-            continue
-        first = g[0]
-        joined = "-".join(g) if len(g) > 1 else first
-        f = formals(joined, linked) or formals("".join(x[0] for x in g), linked) if len(g) > 1 and all(len(x) <= 2 for x in g) or joined in NICKNAMES else set()
-        f = f or (formals(joined, linked) if len(g) > 1 else set()) or (formals(first, linked) if len(first) > 2 or formals(first, linked) else set())
-        choices[r["s"]] = f
-        if len(first) >= 4 and len(f) == 1 and (next(iter(f)) == joined or lcs_ratio(next(iter(f)), joined) >= 0.8):
-            full[next(iter(f))] += r["n"]
-        elif len(first) >= 4 and not f:
-            # A name that no list knows stands for itself; spellings close to each other are one.
-            best = max(full, key=lambda x: lcs_ratio(x, joined), default=None)
-            label = best if best and lcs_ratio(best, joined) >= 0.8 else joined
-            full[label] += r["n"]
-            choices[r["s"]] = {label}
-    alone: Counter = Counter()
-    for r in rows:
-        f = choices.get(r["s"])
-        if f and len(f) == 1 and len(r["given"][0]) > 2:
-            alone[next(iter(f))] += r["n"]
-    people = set(full) | set(alone)
+        if r["firm"]:
+            same = next((t for t, _ in trades.most_common() if r["title"] and likeness(r["title"], t) > 0), r["title"])
+            who[r["s"]] = "firm/" + (same or (next(iter(trades)) if len(trades) == 1 else "?"))
+        elif len(r["given"]) > 5 and (t := next((t for t, _ in trades.most_common() if likeness(r["given"], t) > 0), None)):
+            who[r["s"]] = "firm/" + t
+        else:
+            persons.append(r)
+    graph: dict[str, Counter] = defaultdict(Counter)
+    for a, b, n in links:
+        graph[a][b] += n
+        graph[b][a] += n
+    # Those with one full name are that person; a name that nothing was learned of stands for itself.
+    people: Counter = Counter()
+    called: dict[str, set[str]] = defaultdict(set)
     unsure = []
-    for r in rows:
+
+    def put(r: dict, label: str) -> None:
+        who[r["s"]] = label
+        people[label] += r["n"]
+        if len(r["given"]) > 1:
+            called[label].add(r["given"])
+
+    later = []
+    for r in persons:
+        if len(r["given"]) > 1 and len(r["fulls"]) == 1:
+            put(r, r["fulls"][0])
+        else:
+            later.append(r)
+    unknown = []
+    for r in later:
         g = r["given"]
         if not g:
             unsure.append((r, set(people)))
-            continue
-        f = choices.get(r["s"], set())
-        near = f & people
-        first = g[0]
-        if not near and len(first) <= 4:
-            near = {p for p in people if p.startswith(first)} or {p for p in people if any(n.startswith(first) for n in NICKNAMES.get(p, "").split() if len(first) > 1)}
-        if not near and len(first) >= 4:
-            near = {p for p in people if lcs_ratio(p, "-".join(g)) >= 0.75}
+        elif r["fulls"] and len(g) > 1:
+            near = set(r["fulls"]) & set(people)
+            unsure.append((r, near or set(r["fulls"])))
+        else:
+            unknown.append(r)
+    rest = []
+    for r in unknown:
+        g = r["given"]
+        if len(g) >= 4 or len(g) == 3 and not r["cut"]:
+            best = max(((likeness(g, x), p) for p in people for x in (p, *called[p])), default=(0.0, ""))
+            if best[0] > 0:
+                put(r, best[1])
+                continue
+        rest.append(r)
+    for r in rest:
+        g = r["given"]
+        near = {p for p in people if p.startswith(g)} or {p for p in people if any(x.startswith(g) for x in called[p])} if len(g) <= 5 or r["cut"] else set()
+        if not near and len(g) >= 4:
+            near = {p for p in people if max(lcs_ratio(x, g) for x in (p, *called[p])) >= 0.75}
         if len(near) == 1:
             who[r["s"]] = next(iter(near))
         elif near:
             unsure.append((r, near))
-        elif f and len(f) == 1:
-            who[r["s"]] = next(iter(f))
-            people |= f
+        elif len(g) >= 4 and not r["cut"]:
+            # Linked to a person that is known by another name; else somebody by this name.
+            votes = Counter({who[o]: 0 for o in graph.get(r["s"], {}) if o in who and who[o] in people})
+            for o, n in graph.get(r["s"], {}).items():
+                if o in who and who[o] in votes:
+                    votes[who[o]] += n
+            top = votes.most_common(2)
+            put(r, top[0][0] if top and (len(top) == 1 or top[0][1] >= 2 * top[1][1]) and any(x[0] == g[0] for x in (top[0][0], *called[top[0][0]])) else g)
         else:
             unsure.append((r, set()))
     # The archive's own canonical decides among several; then the title.
-    graph: dict[str, Counter] = defaultdict(Counter)
-    for a, b, n in links:
-        graph[a][b] += n
-        graph[b][a] += n
     titles: dict[str, Counter] = defaultdict(Counter)
-    for r in rows:
+    for r in persons:
         if r["title"] and r["s"] in who:
             titles[r["title"]][who[r["s"]]] += r["n"]
-    for _ in range(3):
+    while unsure:
         left = []
         for r, near in unsure:
             votes: Counter = Counter()
             for other, n in graph.get(r["s"], {}).items():
-                if other in who and (not near or who[other] in near):
+                if other in who and not who[other].startswith("firm/") and (not near or who[other] in near):
                     votes[who[other]] += n
             if not near and r["given"]:
-                votes = Counter({p: n for p, n in votes.items() if p[:1] == r["given"][0][:1]})
+                votes = Counter({p: n for p, n in votes.items() if p[:1] == r["given"][0]})
             top = votes.most_common(2)
             if top and (len(top) == 1 or top[0][1] >= 2 * top[1][1]):
                 who[r["s"]] = top[0][0]
             else:
                 left.append((r, near))
+        if len(left) == len(unsure):
+            break
         unsure = left
     rest = []
     for r, near in unsure:
         by_title = titles.get(r["title"]) if r["title"] and not r["given"] else None
-        if len(people) == 1 and (near or not r["given"]):
+        if len(people) == 1 and (near & set(people) or not r["given"]):
             who[r["s"]] = next(iter(people))
         elif by_title and len(by_title) == 1:
             who[r["s"]] = next(iter(by_title))
@@ -237,8 +276,8 @@ def cluster(rows: list[dict], links: list[tuple[str, str, int]], linked: dict[st
     # What is left has nobody in full: spellings with the same initial mean one.
     by_initial: dict[str, list[dict]] = defaultdict(list)
     for r in rest:
-        if r["given"] and not any(p[0] == r["given"][0][0] for p in people):
-            by_initial[r["given"][0][0]].append(r)
+        if r["given"] and not any(p[0] == r["given"][0] for p in people):
+            by_initial[r["given"][0]].append(r)
     for k, rs in by_initial.items():
         for r in rs:
             who[r["s"]] = f"{k}."
@@ -249,23 +288,47 @@ def cluster(rows: list[dict], links: list[tuple[str, str, int]], linked: dict[st
     return who
 
 
-def spellings(entities: DataFrame) -> DataFrame:
-    """(collection, s, n) of the different names and canonicals of persons in letters of a collection."""
-    e = entities.where("letter_id IS NOT NULL AND kind = 'person'").withColumn("collection", F.substring_index("letter_id", "-", 1))
-    a = e.select("collection", F.col("name").alias("s")).unionByName(e.select("collection", F.col("canonical").alias("s")))
-    return a.where("s IS NOT NULL AND trim(s) <> ''").groupBy("collection", "s").agg(F.count("*").alias("n"))
+def linked(entities: DataFrame) -> DataFrame:
+    """(collection, a, b, k): name and canonical of persons in letters of a collection, and in how many letters they
+    stand together; one of them may be null."""
+    e = entities.where("letter_id IS NOT NULL AND kind = 'person' AND (name IS NOT NULL OR canonical IS NOT NULL)")
+    return e.groupBy(F.substring_index("letter_id", "-", 1).alias("collection"), F.col("name").alias("a"), F.col("canonical").alias("b")).agg(F.count_distinct("letter_id").alias("k"))
+
+
+def spellings(links: DataFrame) -> DataFrame:
+    """(collection, s, n) of the different names and canonicals."""
+    return links.select("collection", "k", F.explode(F.array("a", "b")).alias("s")).where("s IS NOT NULL AND trim(s) <> ''").groupBy("collection", "s").agg(F.sum("k").alias("n"))
 
 
 def parsed(s: DataFrame) -> DataFrame:
-    """spellings with family, given, title, firm; names typed family name first are turned round by how often their
-    tokens stand last in the archive's other names."""
+    """spellings with family, given, cut (whether the given name is abbreviated), title (of a firm its trade) and firm.
+    Names typed family name first are turned round by how often their tokens stand last in the archive's other names."""
+
+    def split(batches):
+        for b in batches:
+            out = []
+            for c, x in zip(b["collection"], b["s"]):
+                toks, _, _ = pieces(x)
+                bare = [t.strip(".") for t in toks]
+                firm = any(m in MARKS for m in bare)
+                out += [(c, x, t, firm, i > 0 and bare[i - 1] in PARTICLES) for i, t in enumerate(toks) if len(bare[i]) >= 4 and bare[i] not in FIRM]
+            yield pd.DataFrame(out, columns=["collection", "s", "token", "firm", "after"])
+
+    toks = cut(s.select("collection", "s").mapInPandas(split, "collection string, s string, token string, firm boolean, after boolean"))
+    # Trades: words that firms carry in many collections and that no particle goes before.
+    trades = toks.groupBy(F.trim("token", F.lit(".")).alias("trade")).agg(F.count("*").alias("all"), F.count_if("firm").alias("with_mark"), F.count_if("after").alias("after"), F.count_distinct("collection").alias("places"), F.count_distinct(F.when(F.col("firm"), F.col("collection"))).alias("firm_places"))
+    trades = trades.where((F.length("trade") >= 5) & (F.col("firm_places") >= TRADE_PLACES) & (2 * F.col("firm_places") >= F.col("places")) & (F.col("with_mark") >= TRADE_SHARE * F.col("all")) & (F.col("after") <= 0.02 * F.col("all"))).select("trade", "all")
+    ends = F.transform(F.sequence(F.lit(4), F.length("trade") - 1), lambda i: F.concat(F.substring("trade", F.lit(1), i), F.lit(".")))
+    forms = trades.select("trade", "all", F.explode(F.concat(F.array("trade", F.concat("trade", F.lit("."))), ends)).alias("token")).groupBy("token").agg(F.max_by("trade", "all").alias("trade"))
+    known = toks.join(maybe_broadcast(forms, 100_000), "token").groupBy("collection", "s").agg(F.collect_set(F.struct("token", "trade")).alias("trades"))
 
     def run(batches):
         for b in batches:
-            rows = [parse(x) for x in b["s"]]
-            yield b.assign(family=[r[0] for r in rows], given=[r[1] for r in rows], title=[r[2] for r in rows], firm=[r[3] for r in rows], sure=[r[4] for r in rows])
+            rows = [parse(x, {t["token"]: t["trade"] for t in ts} if ts is not None else {}) for x, ts in zip(b["s"], b["trades"])]
+            yield b[["collection", "s", "n"]].assign(family=[r[0] for r in rows], given=[r[1] for r in rows], title=[r[2] for r in rows], firm=[r[3] for r in rows], sure=[r[4] for r in rows])
 
-    p = cut(s.mapInPandas(run, "collection string, s string, n bigint, family string, given array<string>, title string, firm boolean, sure boolean"))
+    p = s.join(known, ["collection", "s"], "left")
+    p = cut(p.mapInPandas(run, "collection string, s string, n bigint, family string, given array<string>, title string, firm boolean, sure boolean"))
     # How often a token is a family name, over all collections; only certain names count twice.
     weight = F.when(F.col("sure"), 3).otherwise(1)
     last = p.where("NOT firm AND size(given) > 0").select(F.col("family").alias("w"), weight.alias("l"), F.lit(0).alias("f"))
@@ -273,100 +336,94 @@ def parsed(s: DataFrame) -> DataFrame:
     stat = last.unionByName(first).groupBy("w").agg((F.sum("l") / (F.sum("l") + F.sum("f"))).alias("share"), F.sum(F.col("l") + F.col("f")).alias("seen"))
     two = p.where("NOT firm AND NOT sure AND size(given) = 1").select("collection", "s", F.col("given")[0].alias("g"), "family")
     two = two.join(stat.select(F.col("w").alias("g"), F.col("share").alias("gs"), F.col("seen").alias("gn")), "g").join(stat.select(F.col("w").alias("family"), F.col("share").alias("fs"), F.col("seen").alias("fn")), "family")
-    known = F.col("family").isin([x for f, short in NICKNAMES.items() for x in (f, *short.split()) if len(x) > 2])
-    turned = two.where((F.col("fs") < F.col("gs")) & (((F.col("fs") < 0.4) & (F.col("fn") >= 3)) | known)).select("collection", "s", F.lit(True).alias("turn"))
+    turned = two.where((F.col("fs") < F.col("gs")) & (F.col("fs") < 0.4) & (F.col("fn") >= 3) | (F.col("gs") >= 0.7) & (F.col("gn") >= 5) & (F.col("fn") <= 2)).select("collection", "s", F.lit(True).alias("turn"))
     p = p.join(turned, ["collection", "s"], "left")
-    return p.select("collection", "s", "n", F.when(F.col("turn"), F.col("given")[0]).otherwise(F.col("family")).alias("family"), F.when(F.col("turn"), F.array("family")).otherwise(F.col("given")).alias("given"), "title", "firm")
+    given = F.when(F.col("turn"), F.array("family")).otherwise(F.col("given"))
+    p = p.select("collection", "s", "n", F.when(F.col("turn"), F.col("given")[0]).otherwise(F.col("family")).alias("family"), given.alias("g"), "title", "firm")
+    # Initials are one key together.
+    key = F.when(F.forall("g", lambda x: F.length(x) <= 2), F.array_join("g", "")).otherwise(F.array_join("g", "-"))
+    cut_short = F.exists("g", lambda x: F.length(x) <= 1) | F.col("s").rlike(r"[\p{L}]\.")
+    return p.select("collection", "s", "n", "family", F.when(F.col("firm"), "").otherwise(key).alias("given"), cut_short.alias("cut"), "title", "firm")
 
 
 def families(p: DataFrame) -> DataFrame:
-    """(collection, firm, family, head): the spelling of its family name that each belongs to."""
-    f = cut(p.where("family <> ''").groupBy("collection", "firm", "family").agg(F.count("*").alias("spellings"), F.sum("n").alias("n")))
-    # The index form: sound-alike letters one, doubled letters single, so that one typo doesn't spoil every suffix.
-    form = F.regexp_replace(F.translate(F.regexp_replace(F.regexp_replace("family", "ck", "k"), "y", "ij"), "zfc", "svk"), r"(.)\1+", "$1")
-    f = f.withColumn("form", form).withColumn("back", F.reverse(form))
-    suffixes = lambda c, mark: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(c) - MIN_SUFFIX + 1)), lambda i: F.concat(F.lit(mark), F.substring(c, i, F.length(c))))
-    ends, begins = suffixes("form", ">"), suffixes("back", "<")
-    keyed = f.select("collection", "firm", "family", "spellings", "n", F.explode(F.concat(ends, begins)).alias("suffix"))
-    size = keyed.groupBy("collection", "firm", "suffix").agg(F.count("*").alias("members")).where("members > 1")
-    keyed = keyed.join(size, ["collection", "firm", "suffix"])
-    # A common suffix is refined by the first letter, and by lengths that a shared name can have.
-    band = F.explode(F.array(F.floor(F.length("family") / 3), F.floor((F.length("family") + 1) / 3), F.floor((F.length("family") + 2) / 3)))
-    common = keyed.where(F.col("members") > COMMON).select("*", F.concat_ws("/", "suffix", F.substring("family", 1, 1)).alias("base"), band.alias("band")).distinct()
-    common = common.select("collection", "firm", "family", "spellings", "n", F.concat_ws("/", "base", "band").alias("block"))
-    blocks = keyed.where(F.col("members") <= COMMON).select("collection", "firm", "family", "spellings", "n", F.col("suffix").alias("block")).unionByName(common)
+    """(collection, family, head): the spelling of its family name that each belongs to."""
+    f = cut(p.where("family <> ''").groupBy("collection", "family").agg(F.count("*").alias("spellings"), F.sum("n").alias("n")))
+    blocks = indexed(f, ["collection"], "family")
     a, b = blocks.alias("a"), blocks.alias("b")
-    better = (F.struct("b.spellings", "b.n", "b.family") > F.struct("a.spellings", "a.n", "a.family"))
-    pairs = a.join(b, (F.col("a.collection") == F.col("b.collection")) & (F.col("a.firm") == F.col("b.firm")) & (F.col("a.block") == F.col("b.block")) & better & (F.abs(F.length("a.family") - F.length("b.family")) <= 3) & ((F.col("a.spellings") < ESTABLISHED) | (2 * F.col("a.spellings") <= F.col("b.spellings"))))
-    pairs = pairs.select(F.col("a.collection").alias("collection"), F.col("a.firm").alias("firm"), F.col("a.family").alias("x"), F.col("b.family").alias("y"), F.col("b.spellings").alias("support"), (F.col("a.spellings") >= ESTABLISHED).alias("strong")).distinct()
-
-    @F.pandas_udf("double")
-    def close(x: pd.Series, y: pd.Series) -> pd.Series:
-        out = []
-        for u, v in zip(x, y):
-            r = lcs_ratio(u, v)
-            d = edits(u, v) if r >= RATIO else 99
-            n = max(len(u), len(v))
-            # Two names that differ in their first letters only are rather two names.
-            other = u[:1] != v[:1] and not (u[1:] == v[1:] or u[1:3] == v[1:3] and d <= 1)
-            out.append(r - 0.02 * d if d <= (1 if n <= 5 else 2 if n <= 8 else 3) and not (other and d > 1) else 0.0)
-        return pd.Series(out)
-
-    pairs = pairs.withColumn("score", close("x", "y")).where("score > 0 AND (NOT strong OR score >= 0.88)")
-    to = pairs.groupBy("collection", "firm", "x").agg(F.max_by("y", F.struct("score", "support", "y")).alias("y"))
-    # A spelling may join one that itself joins another: three steps reach the head of any chain seen.
-    up = cut(to)
-    for _ in range(3):
-        nxt = up.select("collection", "firm", F.col("x").alias("y"), F.col("y").alias("z"))
-        up = up.join(nxt, ["collection", "firm", "y"], "left").select("collection", "firm", "x", F.coalesce("z", "y").alias("y"))
-    return f.select("collection", "firm", "family").join(up.withColumnRenamed("x", "family"), ["collection", "firm", "family"], "left").select("collection", "firm", "family", F.coalesce("y", "family").alias("head"))
-
-
-def learned(p: DataFrame, links: DataFrame) -> dict[str, set[str]]:
-    """Given names that the archive's canonical column sets equal in several collections: {short: full names}."""
-    one = p.where("NOT firm AND size(given) = 1 AND length(given[0]) > 2").select("collection", "s", "family", F.col("given")[0].alias("g"))
-    x = links.join(one.select("collection", F.col("s").alias("a"), F.col("family").alias("fa"), F.col("g").alias("ga")), ["collection", "a"])
-    x = x.join(one.select("collection", F.col("s").alias("b"), F.col("family").alias("fb"), F.col("g").alias("gb")), ["collection", "b"]).where("fa = fb AND ga <> gb AND length(gb) >= 5")
-    c = x.groupBy("ga", "gb").agg(F.count_distinct("collection", "fa").alias("k"))
-    total = c.groupBy("ga").agg(F.sum("k").alias("all"))
-    # Pairs seen in at least three families: a vocabulary of given names, not of rows.
-    rows = c.join(total, "ga").where("k >= 3 AND k >= 0.3 * all").orderBy(F.desc("k"), "ga", "gb").limit(20_000).collect()
-    out: dict[str, set[str]] = defaultdict(set)
-    for r in rows:
-        f = {x for x in NICKNAMES if r["gb"] == x}
-        if f and r["ga"] not in NICKNAMES:
-            out[r["ga"]] |= f
-    return dict(out)
+    better = F.struct("b.spellings", "b.n", "b.family") > F.struct("a.spellings", "a.n", "a.family")
+    # Two names with many spellings each, of like number, are two families.
+    rare = (F.col("a.spellings") < 3) | (2 * F.col("a.spellings") <= F.col("b.spellings"))
+    pairs = a.join(b, (F.col("a.collection") == F.col("b.collection")) & (F.col("a.block") == F.col("b.block")) & better & (F.abs(F.length("a.family") - F.length("b.family")) <= 3) & rare)
+    pairs = pairs.select(F.col("a.collection").alias("collection"), F.col("a.family").alias("x"), F.col("b.family").alias("y"), F.col("b.spellings").alias("support"), ((F.col("a.spellings") >= 3) & (4 * F.col("a.spellings") > F.col("b.spellings"))).alias("strong")).distinct()
+    pairs = pairs.withColumn("score", _likeness("x", "y")).where("score > 0 AND (NOT strong OR score >= 0.88)")
+    up = cut(pairs.groupBy("collection", "x").agg(F.max_by("y", F.struct("score", "support", "y")).alias("y")))
+    # A spelling may join one that itself joins another: pointers are doubled until none moves, each to its chain's head.
+    while True:
+        nxt = up.select("collection", F.col("x").alias("y"), F.col("y").alias("z"))
+        up = cut(up.join(nxt, ["collection", "y"], "left").select("collection", "x", F.coalesce("z", "y").alias("y"), F.col("z").isNotNull().alias("moved")))
+        if up.where("moved").isEmpty():
+            break
+        up = up.drop("moved")
+    return f.select("collection", "family").join(up.select("collection", F.col("x").alias("family"), "y"), ["collection", "family"], "left").select("collection", "family", F.coalesce("y", "family").alias("head"))
+
+
+def learned(m: DataFrame, links: DataFrame) -> DataFrame:
+    """(given, fulls): the full names that a given name stands for, as the archive's canonical column shows in several
+    families; a full name stands for itself. Rare spellings that are one of these with a mistake stand for the same.
+
+    Of two names that stand for one another, the one that stands for more is the fuller.
+    """
+    one = m.where("NOT firm AND length(given) > 1").select("collection", "s", "head", "given")
+    x = links.join(one.select("collection", F.col("s").alias("a"), F.col("head").alias("ha"), F.col("given").alias("ga")), ["collection", "a"])
+    x = x.join(one.select("collection", F.col("s").alias("b"), F.col("head").alias("hb"), F.col("given").alias("gb")), ["collection", "b"]).where("ha = hb AND ga <> gb")
+    both = x.select("collection", "ha", F.explode(F.array(F.struct(F.col("ga").alias("g"), F.col("gb").alias("f")), F.struct(F.col("gb").alias("g"), F.col("ga").alias("f")))).alias("p"))
+    w = both.groupBy("p.g", "p.f").agg(F.count_distinct("collection", "ha").alias("k")).where(F.col("k") >= LEARNED)
+    w = cut(w.withColumn("power", F.sum("k").over(W.partitionBy("g"))))
+    w = w.join(w.select(F.col("g").alias("f"), F.col("power").alias("f_power")).distinct(), "f")
+    ups = w.where(F.struct("f_power", "f") > F.struct("power", "g")).withColumn("most", F.max("k").over(W.partitionBy("g"))).where(F.col("k") >= BESIDE * F.col("most")).select("g", "f")
+    tops = w.select("f").distinct().join(ups.select(F.col("g").alias("f")), "f", "left_anti").select(F.col("f").alias("g"), "f")
+    # Every name's tops: up the links, whose power grows, until nothing is left to go up from.
+    now, ups = cut(ups), cut(ups)
+    while True:
+        higher = now.join(ups.select(F.col("g").alias("f"), F.col("f").alias("f2")), "f", "left")
+        now = cut(higher.select("g", F.coalesce("f2", "f").alias("f"), F.col("f2").isNotNull().alias("moved")).distinct())
+        if now.where("moved").isEmpty():
+            break
+        now = now.select("g", "f").distinct()
+    known = cut(now.select("g", "f").unionByName(tops).distinct())
+    book = known.select(F.col("g").alias("token")).distinct().withColumn("old", F.lit(True))
+    rare = one.select(F.col("given").alias("token")).where("length(token) >= 4").distinct().join(book.select("token"), "token", "left_anti").withColumn("old", F.lit(False))
+    blocks = indexed(book.unionByName(rare).withColumn("all", F.lit(0)), ["all"], "token")
+    u, v = blocks.where("NOT old").alias("u"), blocks.where("old").alias("v")
+    near = u.join(v, (F.col("u.block") == F.col("v.block")) & (F.abs(F.length("u.token") - F.length("v.token")) <= 3)).select(F.col("u.token").alias("given"), F.col("v.token").alias("g")).distinct()
+    near = near.withColumn("score", _likeness("given", "g")).where("score > 0").withColumn("best", F.max("score").over(W.partitionBy("given"))).where("score = best")
+    every = known.select(F.col("g").alias("given"), "f").unionByName(near.join(known, "g").select("given", "f"))
+    return every.groupBy("given").agg(F.array_sort(F.collect_set("f")).alias("fulls"))
 
 
 def resolve(entities: DataFrame) -> DataFrame:
     """(collection, s, who): the person or firm that each spelling means, as a label within the collection; spellings
     that nobody can place have a label of their own."""
-    s = cut(spellings(entities))
-    p = cut(parsed(s))
-    e = entities.where("letter_id IS NOT NULL AND kind = 'person' AND name IS NOT NULL AND canonical IS NOT NULL AND name <> canonical").withColumn("collection", F.substring_index("letter_id", "-", 1))
-    links = cut(e.groupBy("collection", F.col("name").alias("a"), F.col("canonical").alias("b")).agg(F.count_distinct("letter_id").alias("k")))
-    heads = cut(families(p))
-    short = entities.sparkSession.sparkContext.broadcast(learned(p, links))
-    m = p.join(heads, ["collection", "firm", "family"]).select("collection", "firm", "head", "s", "n", "given", "title")
-    place = m.select("collection", "s", "firm", "head")
-    inner = links.join(place.select("collection", F.col("s").alias("a"), F.col("firm").alias("f1"), F.col("head").alias("head")), ["collection", "a"])
-    inner = inner.join(place.select("collection", F.col("s").alias("b"), F.col("firm").alias("firm"), F.col("head").alias("h2")), ["collection", "b"]).where("f1 = firm AND head = h2").select("collection", "firm", "head", "a", "b", "k")
+    both = cut(linked(entities))
+    p = cut(parsed(spellings(both)))
+    links = both.where("a IS NOT NULL AND b IS NOT NULL AND a <> b")
+    m = cut(p.join(families(p), ["collection", "family"]).select("collection", "head", "s", "n", "given", "cut", "title", "firm"))
+    place = m.select("collection", "s", "head")
+    inner = links.join(place.select("collection", F.col("s").alias("a"), F.col("head").alias("h1")), ["collection", "a"])
+    inner = inner.join(place.select("collection", F.col("s").alias("b"), F.col("head").alias("h2")), ["collection", "b"]).where("h1 = h2").select("collection", F.col("h1").alias("head"), "a", "b", "k")
+    named = m.join(learned(m, links), "given", "left")
 
     def run(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        collection, firm, head = key
-        if firm:
-            who = {}
-            kinds = Counter(t for t in left["title"] if t)
-            for x, t in zip(left["s"], left["title"]):
-                who[x] = t or (next(iter(kinds)) if len(kinds) == 1 else "?")
-        else:
-            rows = [{"s": r.s, "given": list(r.given), "title": r.title, "n": r.n} for r in left.sort_values(["n", "s"], ascending=[False, True]).itertuples()]
-            who = cluster(rows, list(right[["a", "b", "k"]].itertuples(index=False, name=None)), short.value)
-        return pd.DataFrame({"collection": collection, "s": left["s"], "who": [f"{head}/{'firm' if firm else 'person'}/{who.get(x) or '=' + x}" for x in left["s"]]})
-
-    group = ["collection", "firm", "head"]
-    return m.groupBy(*group).cogroup(inner.groupBy(*group)).applyInPandas(run, "collection string, s string, who string")
+        collection, head = key
+        rows = [{"s": r.s, "given": r.given, "cut": r.cut, "fulls": list(r.fulls) if r.fulls is not None else [], "title": r.title, "firm": r.firm, "n": r.n} for r in left.sort_values(["n", "s"], ascending=[False, True]).itertuples()]
+        who = cluster(rows, list(right[["a", "b", "k"]].itertuples(index=False, name=None)))
+        return pd.DataFrame({"collection": collection, "s": left["s"], "who": [f"{head}/{who.get(x) or '=' + x}" for x in left["s"]]})
+
+    # Many small groups, each dear: spread by number, which the session doesn't merge into few tasks.
+    n = max(parts(entities.sparkSession), 2 * entities.sparkSession.sparkContext.defaultParallelism)
+    group = ["collection", "head"]
+    return named.repartition(n, *group).groupBy(*group).cogroup(inner.repartition(n, *group).groupBy(*group)).applyInPandas(run, "collection string, s string, who string")
 
 
 def found(entities: DataFrame) -> DataFrame:

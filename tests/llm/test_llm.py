@@ -68,14 +68,37 @@ def test_terms_with_edits_in_both_halves():
 
 
 def test_names(spark):
-    same = [["Frederik van den Brandkamp", "Freek v.d. Brandkamp", "Brandkamp, Frits v/d", "F. van den Brandkanp"], ["Wilhelmina van den Brandkamp", "Minnie van den Brandkamp"], ["Scheepswerf Gruiswinckel", "fa. Gruiswinckel, scheepswerf"], ["Elisabeth ter Speltkamp", "Speltkamp Elisabeth", "Elisobeth Ter Speltkamp"]]
-    rows = [("A-1", "person", x, None) for g in same for x in g] + [("B-1", "person", "Frits Brandkamp", None), (None, "person", "Frits Brandkamp", "Freek Brandkamp"), ("A-1", "person", None, ""), ("A-1", "place", "Frits Brandkamp", None), ("A-1", "person", "?" * 5, "z" * 5_000)]
-    e = spark.createDataFrame([(*r, None, None, "w", 1, "s") for r in rows] * 2, ENT)
-    got = {(r["name_a"], r["name_b"]) for r in names.found(e).collect()}
+    same = [["Frederik van den Brandkamp", "Freek v.d. Brandkamp", "Brandkamp, Frits v/d", "F. van den Brandkanp"], ["Wilhelmina van den Brandkamp", "Minnie van den Brandkamp"], ["Scheepswerf Gruiswinckel", "fa. Gruiswinckel, scheepswerf", "NV Scheeps. Gruiswinckel"], ["Elisabeth ter Speltkamp", "Speltkamp Elisabeth", "Elisobeth Ter Speltkamp"]]
+    rows = [("A-1", "person", x, None) for g in same for x in g] + [(None, "person", "Frits Brandkamp", "Freek Brandkamp"), ("A-1", "person", None, ""), ("A-1", "place", "Frits Brandkamp", None), ("A-1", "person", "?" * 5, "z" * 5_000)]
+    # What short forms and trades are is learned from other collections.
+    taught = [(f"{c}-1", "person", f"{short} {family}", f"{full} {family}") for c, family in (("B", "Klaverveld"), ("C", "Rozeboom"), ("D", "Witteman")) for full, shorts in (("Frederik", ("Freek", "Frits")), ("Wilhelmina", ("Minnie", "Mien"))) for short in shorts]
+    taught += [(f"{c}-1", "person", f"fa. {family}, scheepswerf", None) for c, family in (("B", "Waterman"), ("C", "Zeeboer"), ("D", "Kromhout"))]
+    e = spark.createDataFrame([(*r, None, None, "w", 1, "s") for r in rows + taught] * 2, ENT)
+    got = {(r["name_a"], r["name_b"]) for r in names.found(e).where("collection = 'A'").collect()}
     assert got == {(a, b) for g in same for a in g for b in g if a < b}
     assert names.found(e.limit(0)).count() == 0
 
 
+def test_common_suffixes_lose_no_pair(spark):
+    rng = random.Random(6)
+    heads = sorted({"".join(rng.choice("bdgklmnprstvw") + rng.choice("aeiou") for _ in range(3)) + rng.choice("klmnrst") for _ in range(150)})
+    words = [h + "winkel" for h in heads]
+    typos = [w[:k] + c + w[k + 1 :] for w in words[:60] for k, c in [(rng.randrange(len(w)), rng.choice("xq"))]]
+    t = spark.createDataFrame([("A", w) for w in {*words, *typos}], "c string, w string")
+    b = names.indexed(t, ["c"], "w")
+    met = {(r["u"], r["v"]) for r in b.select(b["w"].alias("u"), "block").join(b.select(b["w"].alias("v"), "block"), "block").where("u < v").select("u", "v").distinct().collect()}
+    every = {(min(a, z), max(a, z)) for a in typos for z in words if a != z and names.likeness(a, z) > 0}
+    assert every and every <= met
+
+
+def test_chains_of_spellings_have_one_head(spark):
+    chain = ["abcdefghijklmnop"]
+    for k in range(12):
+        chain.append(chain[-1][:k] + "xyzq"[k % 4] + chain[-1][k + 1 :])
+    p = spark.createDataFrame([("A", w, w, 1 + i) for i, w in enumerate(chain)], "collection string, s string, family string, n long")
+    assert len({r["head"] for r in names.families(p).collect()}) == 1
+
+
 def test_scan_decoder(spark):
     clean = ["Het onweerde hevig en de kapitein-luitenant moest schuilen met de koperen lamp van mijn matroos", "de dominee bevalt ons goed en de matroos moest schuilen"] * 4
     clean = [f"{c} nummer {'abcdefgh'[i]}" for i, c in enumerate(clean)]
