@@ -21,8 +21,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from inkloom.llm.readings import compare, each_batch, whole, with_pivot
-from inkloom.session import cut
+from inkloom.llm.forms import usual
+from inkloom.llm.readings import ILLEGIBLE, bare, compare, each_batch, whole, with_pivot
+from inkloom.session import cut, forget, small
 
 #: Rounds of posteriors and parameters, at least and at most; they end when no parameter moves by MOVED any more.
 ROUNDS, MOST_ROUNDS, MOVED = 3, 30, 1e-3
@@ -81,15 +82,20 @@ def fit(reads: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame, D
     seen = seen.withColumn("salt", F.pmod(F.xxhash64("page_id", "annotator"), F.lit(salts)).cast("int"))
     known = cut(seen.groupBy("annotator").agg(F.count("*").alias("n_readings"), F.sum("size").alias("n_slots")).withColumns({"s": F.lit(FIRST), "accuracy": F.lit(None).cast("double")}))
     log_k = math.log(LABELS - 1)
+    # Annotators are engines and samples: few enough to broadcast, which is checked; of more, each goes to every salt, as
+    # one may hold a third of all rows.
+    few = small(known, 100_000)
     line, slot = W.partitionBy("page_id", "line"), W.partitionBy("page_id", "line", "slot")
     absent = F.col("slot") == ABSENT
-    state, moved = None, math.inf
+    state, moved, past = None, math.inf, []
     for turn in range(max(rounds, MOST_ROUNDS) + 1):
-        # One annotator may hold a third of all rows: its parameter goes to every salt.
-        salted = known.select("annotator", "s", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+        if few:
+            told, by = F.broadcast(known.select("annotator", "s")), ["annotator"]
+        else:
+            told, by = known.select("annotator", "s", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt")), ["annotator", "salt"]
         p = _sigmoid(F.col("s") - log_k)
-        pages = seen.join(salted, ["annotator", "salt"]).groupBy("page_id").agg(F.sum("s").alias("page_s"), F.count("*").alias("page_n"), F.sum(p).alias("page_p"), F.sum(p * (1 - p)).alias("page_w"))
-        lab = diff.join(salted, ["annotator", "salt"]).groupBy("page_id", "line", "slot", "label", "voted").agg(F.sum("s").alias("w"), F.count("*").alias("n"))
+        pages = seen.join(told, by).groupBy("page_id").agg(F.sum("s").alias("page_s"), F.count("*").alias("page_n"), F.sum(p).alias("page_p"), F.sum(p * (1 - p)).alias("page_w"))
+        lab = diff.join(told, by).groupBy("page_id", "line", "slot", "label", "voted").agg(F.sum("s").alias("w"), F.count("*").alias("n"))
         lab = lab.join(pages, "page_id")
         # A reading without the line says nothing about its slots.
         gone_w, gone_n = (F.when(absent, 0).otherwise(F.coalesce(F.sum(F.when(absent, F.col(c))).over(line), F.lit(0))) for c in ("w", "n"))
@@ -113,6 +119,8 @@ def fit(reads: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame, D
                 (F.col("e") / (F.col("e_pivot") + F.col("z"))).alias("q"), (F.col("e_pivot") / (F.col("e_pivot") + F.col("z"))).alias("q_pivot"), "t", F.greatest(F.lit(-3.0), F.least(F.lit(3.0), new_t)).alias("new_t"),
             )
         )
+        for x in past:
+            forget(x)
         if turn >= rounds and moved < MOVED:
             break
         # Expected mistakes of each annotator: where it followed the pivot, where it didn't.
@@ -129,6 +137,7 @@ def fit(reads: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame, D
         for _ in range(2):
             p = _sigmoid(F.col("s") - log_k)
             k = k.withColumn("s", F.col("s") + ((F.col("accuracy") - p) * F.col("n_slots") - L2_ANNOTATOR * (F.col("s") - FIRST)) / (p * (1 - p) * F.col("n_slots") + L2_ANNOTATOR))
+        past = [state, known]
         known = cut(k.select("annotator", "n_readings", "n_slots", F.greatest(F.lit(0.1), F.least(F.lit(12.0), F.col("s"))).alias("s"), "accuracy", "old_s"))
         steps = [known.agg(F.max(F.abs(F.col("s") - F.col("old_s")))), state.agg(F.max(F.abs(F.col("new_t") - F.col("t"))))]
         moved = max(x.first()[0] or 0.0 for x in steps)
@@ -153,15 +162,57 @@ def agreement(reads: DataFrame) -> DataFrame:
     return out.select("page_id", "n_readings", "n_slots", F.greatest(F.lit(0.0), 1 - F.coalesce("off", F.lit(0.0)) / F.greatest("n_slots", F.lit(1))).alias("agreement"))
 
 
-def changed_lines(transcriptions: DataFrame) -> DataFrame:
-    """(page_id, line_no, slot, label): where the consensus of a page with at least three readings differs from the
-    reference reading; label '' where the reference has a word too many, slot -1 where it has a line too many."""
-    reads = with_pivot(transcriptions).where("n >= 3 AND is_ref")
+def _changes(reads: DataFrame) -> DataFrame:
+    """(page_id, line_no, slot, label): where the consensus differs from the pivot."""
     lab, _, _ = fit(reads)
     best = lab.groupBy("page_id", "line", "slot").agg(F.max("q").alias("q"), F.max("q_pivot").alias("q_pivot"), F.max_by("label", F.struct("q", "label")).alias("label"))
     return best.where("q > q_pivot").select("page_id", F.col("line").alias("line_no"), "slot", "label")
 
 
+def changed_lines(transcriptions: DataFrame) -> DataFrame:
+    """(page_id, line_no, slot, label): where the consensus of a page with at least three readings differs from the
+    reference reading; label '' where the reference has a word too many, slot -1 where it has a line too many."""
+    return _changes(with_pivot(transcriptions).where("n >= 3 AND is_ref"))
+
+
+def rewritten(text: str, changes: dict[int, str]) -> str | None:
+    """A line with its changed slots; None where the consensus has no such line. A replaced word keeps the signs and the
+    capital of what stood there."""
+    if ABSENT in changes:
+        return None
+    out, k = [], 0
+    for w in usual(text).split():
+        core = ILLEGIBLE if ILLEGIBLE in w else bare(w)
+        if not core:
+            out.append(w)
+            continue
+        out += [changes[2 * k]] if changes.get(2 * k) else []
+        new = changes.get(2 * k + 1)
+        at = w.find(core)
+        if new is None:
+            out.append(w)
+        elif new:
+            out.append(w[:at] + (new[:1].upper() + new[1:] if core[:1].isupper() else new) + w[at + len(core) :])
+        k += 1
+    return " ".join(out + ([changes[2 * k]] if changes.get(2 * k) else []))
+
+
+def consensus_text(transcriptions: DataFrame) -> DataFrame:
+    """(page_id, line_no, text, n_changed): the consensus text of every line of every page, line numbers as in the page's
+    pivot. Pages with fewer than three readings keep the pivot's text; lines that most readings lack are left out."""
+    reads = with_pivot(transcriptions)
+    lines = reads.where("is_pivot").select("page_id", F.explode(F.arrays_zip(F.col("nos").alias("line_no"), F.col("texts").alias("text"))).alias("x")).select("page_id", "x.line_no", "x.text")
+    c = _changes(reads.where("n >= 3")).groupBy("page_id", "line_no").agg(F.collect_list(F.struct("slot", "label")).alias("changes"))
+
+    @F.pandas_udf("string")
+    def put(text: pd.Series, changes: pd.Series) -> pd.Series:
+        return pd.Series([t if cs is None else rewritten(t, {c["slot"]: c["label"] for c in cs}) for t, cs in zip(text, changes)], dtype=object)
+
+    x = lines.join(c, ["page_id", "line_no"], "left")
+    x = x.select("page_id", "line_no", put("text", "changes").alias("text"), F.coalesce(F.size("changes"), F.lit(0)).alias("n_changed"))
+    return x.where("text IS NOT NULL")
+
+
 def found(transcriptions: DataFrame) -> DataFrame:
     """p4_found: the reference reading's lines from which the consensus differs."""
     return changed_lines(transcriptions).select("page_id", "line_no").distinct()

@@ -32,7 +32,7 @@ def p4_found(spark, d):
 
 
 def p4_consensus(spark, d):
-    return consensus.changed_lines(t(spark, d, "transcriptions"))
+    return consensus.consensus_text(t(spark, d, "transcriptions"))
 
 
 def p4_annotators(spark, d):

@@ -9,22 +9,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkloom.llm.forms import usual
-from inkloom.session import maybe_broadcast
+from inkloom.session import cut, maybe_broadcast
 
 KEYS = ["page_id", "engine", "model", "prompt_version", "variant", "sample_no"]
-#: Readings of one page that share one copy of its pivot; pages with more get several copies, so that no task holds all.
-SHARE = 500
+#: Rows of one page that share one copy of its pivot; pages with more get several copies, so that no task holds all.
+SHARE = 10_000
 ILLEGIBLE = "[?]"
 _edges = re.compile(r"^[^\w]+|[^\w]+$")
 
 
+def bare(word: str) -> str:
+    """A word without the signs at its edges."""
+    return _edges.sub("", word)
+
+
 def tokens(text: str) -> list[str]:
     """The words to compare: usual characters, lower case, no punctuation at the edges; "[?]" stays as "?"."""
     out = []
     for w in usual(text).lower().split():
         if ILLEGIBLE in w:
             out.append("?")
-        elif (c := _edges.sub("", w)):
+        elif c := bare(w):
             out.append(c)
     return out
 
@@ -86,8 +91,9 @@ def align_lines(ref: list[list[str]], hyp: list[list[str]], least: float = 0.35)
     return out
 
 
-def align_words(r: list[str], h: list[str]) -> list[tuple[int, int]]:
-    """Edit path of two word lists: pairs (i, j); -1 where a word has no partner."""
+def align_words(r: list[str], h: list[str], stops: bool = False) -> list[tuple[int, int]]:
+    """Edit path of two word lists: pairs (i, j); -1 where a word has no partner. stops: to stop before the other's end
+    costs less than to leave words out, and so does a last word that is the beginning of the other's."""
     n, m = len(r), len(h)
     a, b = 0, 0
     while a < min(n, m) and r[a] == h[a]:
@@ -98,27 +104,42 @@ def align_words(r: list[str], h: list[str]) -> list[tuple[int, int]]:
     head, tail = [(k, k) for k in range(a)], [(n - b + k, m - b + k) for k in range(b)]
     if not x or not y:
         return head + [(a + k, -1) for k in range(len(x))] + [(-1, a + k) for k in range(len(y))] + tail
+    last_x, last_y = len(x) if not b else -1, len(y) if not b else -1
+    out_x = [0.45 if stops and j == last_y else 0.7 for j in range(len(y) + 1)]  # to leave out a word of x at column j
+    out_y = [0.45 if stops and i == last_x else 0.7 for i in range(len(x) + 1)]
+
+    def change(i: int, j: int) -> float:
+        u, v = x[i], y[j]
+        if u == v:
+            return 0.0
+        if u == "?" or v == "?":
+            return 0.5
+        c = 1.25 - alike(u, v)
+        if stops:
+            if j + 1 == last_y and u.startswith(v) or i + 1 == last_x and v.startswith(u):
+                return min(c, 0.3)
+            if j + 1 == last_y and i + 1 == last_x:
+                return min(c, 1.0)
+        return c
+
     cost = [[0.0] * (len(y) + 1) for _ in range(len(x) + 1)]
-    for i in range(len(x) + 1):
-        cost[i][0] = 0.7 * i
-    for j in range(len(y) + 1):
-        cost[0][j] = 0.7 * j
-    for i, u in enumerate(x):
-        for j, v in enumerate(y):
-            sub = 0.0 if u == v else 0.5 if u == "?" or v == "?" else 1.25 - alike(u, v)
-            cost[i + 1][j + 1] = min(cost[i][j] + sub, cost[i][j + 1] + 0.7, cost[i + 1][j] + 0.7)
+    for i in range(len(x)):
+        cost[i + 1][0] = cost[i][0] + out_x[0]
+    for j in range(len(y)):
+        cost[0][j + 1] = cost[0][j] + out_y[0]
+    subs = [[change(i, j) for j in range(len(y))] for i in range(len(x))]
+    for i in range(len(x)):
+        row, nxt, sub, oy = cost[i], cost[i + 1], subs[i], out_y[i + 1]
+        for j in range(len(y)):
+            nxt[j + 1] = min(row[j] + sub[j], nxt[j] + oy, row[j + 1] + out_x[j + 1])
     mid: list[tuple[int, int]] = []
     i, j = len(x), len(y)
     while i or j:
         c = cost[i][j]
-        if i and j:
-            u, v = x[i - 1], y[j - 1]
-            sub = 0.0 if u == v else 0.5 if u == "?" or v == "?" else 1.25 - alike(u, v)
-            if abs(c - cost[i - 1][j - 1] - sub) < 1e-9:
-                mid.append((a + i - 1, a + j - 1))
-                i, j = i - 1, j - 1
-                continue
-        if i and abs(c - cost[i - 1][j] - 0.7) < 1e-9:
+        if i and j and abs(c - cost[i - 1][j - 1] - subs[i - 1][j - 1]) < 1e-9:
+            mid.append((a + i - 1, a + j - 1))
+            i, j = i - 1, j - 1
+        elif i and abs(c - cost[i - 1][j] - out_x[j]) < 1e-9:
             mid.append((a + i - 1, -1))
             i -= 1
         else:
@@ -152,7 +173,17 @@ def compare(r: list[str], h: list[str]) -> tuple[list[tuple[int, str | None]], i
                 diffs.append((2 * i + 1, h[j]))
         else:
             gap.setdefault(at, []).append(h[j])
-    # How they end.
+    delta, extra, within, lost, last_r = _ends(path, r, h)
+    # A reading that stops early says nothing about what follows.
+    if lost >= 2 or (within and delta < 0):
+        first = 2 * (last_r if within else last_r + 1) + (1 if within else 0)
+        diffs = [(s, None if s >= first else label) for s, label in diffs]
+    return diffs + [(2 * k, " ".join(w for w in ws if w != "?") or None) for k, ws in gap.items()], delta, extra, within
+
+
+def _ends(path: list[tuple[int, int]], r: list[str], h: list[str]) -> tuple[int, int, bool, int, int]:
+    """(delta, words, within, words lost, last word of r that h reads) of an edit path; see compare()."""
+    n, m = len(r), len(h)
     k = len(path)
     while k and path[k - 1][1] < 0:
         k -= 1
@@ -175,20 +206,39 @@ def compare(r: list[str], h: list[str]) -> tuple[list[tuple[int, str | None]], i
     elif more:
         ws = [h[j] for _, j in path[g:]]
         delta, extra = max(delta, 0) + sum(len(w) + 1 for w in ws), len(ws)
-    # A reading that stops early says nothing about what follows.
-    if lost >= 2 or (within and delta < 0):
-        first = 2 * (last_r if within else last_r + 1) + (1 if within else 0)
-        diffs = [(s, None if s >= first else label) for s, label in diffs]
-    return diffs + [(2 * k, " ".join(w for w in ws if w != "?") or None) for k, ws in gap.items()], delta, extra, within
+    return delta, extra, within, lost, last_r
+
+
+def unparted(a: list[str], b: list[str]) -> list[str]:
+    """a with two neighbours as one word where b has that word, or at the end one that begins so."""
+    known, out, i = set(b), [], 0
+    while i < len(a):
+        if i + 1 < len(a) and (w := a[i] + a[i + 1]) not in ("", a[i]) and a[i] not in known and (w in known or i + 2 == len(a) and any(x.startswith(w) for x in b)):
+            out.append(w)
+            i += 2
+        else:
+            out.append(a[i])
+            i += 1
+    return out
+
+
+def ending(r: list[str], h: list[str]) -> tuple[int, int, bool]:
+    """(delta, words, within) as in compare(); words parted by a stray space are put together, a last word that is the
+    beginning of the other's counts as that, and to stop early is cheaper than to read something else."""
+    if r == h:
+        return 0, 0, False
+    r, h = unparted(r, h), unparted(h, r)
+    return _ends(align_words(r, h, stops=True), r, h)[:3]
 
 
 def grouped(transcriptions: DataFrame) -> DataFrame:
     """One row per reading with its lines in order: KEYS, nos, texts. Repeated deliveries count once; of different texts
     for one line the first by code point stands. Rows without page_id, line_no or text are left out."""
     t = transcriptions.where("page_id IS NOT NULL AND line_no IS NOT NULL AND text IS NOT NULL")
-    t = t.groupBy(*KEYS, "line_no").agg(F.min("text").alias("text"))
-    g = t.groupBy(*KEYS).agg(F.array_sort(F.collect_list(F.struct("line_no", "text"))).alias("x"))
-    return g.select(*KEYS, F.col("x.line_no").alias("nos"), F.col("x.text").alias("texts"))
+    # One shuffle: a reading's lines travel as one array, collected where they are read.
+    g = t.groupBy(*KEYS).agg(F.array_sort(F.collect_set(F.struct("line_no", "text"))).alias("x"))
+    first = F.filter("x", lambda l, i: (i == 0) | (l["line_no"] != F.try_element_at("x", F.greatest(i, F.lit(1)))["line_no"]))
+    return g.select(*KEYS, first.alias("x")).select(*KEYS, F.col("x.line_no").alias("nos"), F.col("x.text").alias("texts"))
 
 
 def with_pivot(transcriptions: DataFrame, engine: str = "local", sample_no: int = 0) -> DataFrame:
@@ -199,12 +249,12 @@ def with_pivot(transcriptions: DataFrame, engine: str = "local", sample_no: int
     ref = F.coalesce((F.col("engine") == engine) & (F.col("sample_no") == sample_no), F.lit(False))
     order = F.struct(~ref, *[F.col(c) for c in KEYS[1:]])
     pivot = g.groupBy("page_id").agg(F.min_by(F.struct(key.alias("p_key"), F.col("nos").alias("p_nos"), F.col("texts").alias("p_texts"), ref.alias("is_ref")), order).alias("p"), F.count("*").alias("n"))
-    copies = F.ceil(F.col("n") / SHARE).cast("int")
-    pivot = pivot.select("page_id", "p.*", "n", F.explode(F.sequence(F.lit(0), copies - 1)).alias("copy"))
-    # Only pages with many readings need copies; there are few of them, which is checked.
-    counted = transcriptions.where("page_id IS NOT NULL AND line_no IS NOT NULL AND text IS NOT NULL").groupBy(*KEYS).agg(F.lit(1).alias("one")).groupBy("page_id").count()
-    hot = counted.where(F.col("count") > SHARE).select("page_id", F.ceil(F.col("count") / SHARE).cast("int").alias("copies"))
-    g = g.join(maybe_broadcast(hot, 100_000), "page_id", "left").withColumn("copy", F.when(F.col("copies").isNull(), 0).otherwise(F.pmod(key, F.col("copies"))).cast("int")).drop("copies")
+    # Only pages with very many rows need copies of their pivot; there are few of them, which is checked.
+    rows = transcriptions.where("page_id IS NOT NULL").groupBy("page_id").agg(F.ceil(F.count("*") / SHARE).cast("int").alias("copies"))
+    hot = maybe_broadcast(cut(rows.where("copies > 1")), 100_000)
+    last = F.coalesce(F.col("copies"), F.lit(1)) - 1
+    pivot = pivot.join(hot, "page_id", "left").select("page_id", "p.*", "n", F.explode(F.sequence(F.lit(0), last)).alias("copy"))
+    g = g.join(hot, "page_id", "left").withColumn("copy", F.pmod(key, last + 1).cast("int")).drop("copies")
     return g.withColumn("is_pivot_key", key).join(pivot, ["page_id", "copy"]).withColumn("is_pivot", F.col("is_pivot_key") == F.col("p_key")).drop("copy", "is_pivot_key", "p_key")
 
 
@@ -218,9 +268,9 @@ def each_batch(b: pd.DataFrame, memo: dict):
     line). Equal pivots and lines of a batch are prepared once."""
     for row in b.itertuples(index=False):
         pk = ("p", row.page_id)
+        if len(memo) > 50_000:
+            memo.clear()
         if pk not in memo:
-            if len(memo) > 50_000:
-                memo.clear()
             memo[pk] = [tokens(t) for t in row.p_texts]
         ref = memo[pk]
         hyp = ref if row.is_pivot else [tokens(t) for t in row.texts]

@@ -1,11 +1,16 @@
 """Values that stop too early, and how often each source cuts (problem 6).
 
-Method: a structural check with a stack automaton (unclosed quotes, brackets and markup, broken multibyte sequences and
-escapes at the end), which decides for summaries and where the readings of a line agree on its end. Terminators tell
-little here: a source's baseline can't part a cut sentence from one that only lacks its full stop. What the end should be is known from
-the other readings of the same line, aligned to the page's pivot: per line the end that most readings reach is a sum
-over readings, and a row is cut if its own end lies before it. For summaries, words that end sentences in the corpus
-tell a sentence that only lacks its full stop from one that stops within.
+Method: a structural check with a stack automaton. It reads a value and says what is open at its end: quotes, brackets,
+markup, a broken multibyte sequence or escape, and the sentence, where the terminator is missing. Every case comes from
+one of these findings. Brackets, quotes, markup, bytes and escapes decide by themselves where nothing that follows
+closes them. A missing terminator is weighed by its source's baseline: a source that closes nearly all its values is cut
+where one is open, and a source that leaves most of them open (lines of a page go on in the next) needs a second sign:
+
+- the source's field limit, a length at which its values stop far too often;
+- for lines, the end that the other readings of the same line reach, aligned to the page's pivot;
+- for summaries, that the last words hardly ever end a sentence in the corpus.
+
+The end of a line is a sum over its readings, and what is cut is decided for each end, not for each row.
 """
 
 from __future__ import annotations
@@ -13,27 +18,34 @@ from __future__ import annotations
 import re
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkloom.llm.forms import mapped, usual
-from inkloom.llm.readings import KEYS, compare, each_batch, whole, with_pivot
+from inkloom.llm.readings import KEYS, each_batch, ending, whole, with_pivot
 from inkloom.session import cut, maybe_broadcast
 
 LEAST = 3
 #: A field limit is a length that holds at least this share of a source's values and that at most LIMIT_BEYOND times as
 #: many values exceed (signs put in after the cut).
 LIMIT_SHARE, LIMIT_BEYOND, LIMIT_ROWS = 0.03, 0.3, 20
+#: A source that leaves no more than this share of its values without a terminator closes what it writes.
+CLOSES = 0.02
 OPEN = {"(": ")", "[": "]", "{": "}", "“": "”", "„": "”", "«": "»", "‘": "’"}
 _tag = re.compile(r"<(/?)([a-zA-Z][\w-]*)[^<>]*?(/?)>")
 _elided = re.compile(r"‘(?=[stnmrk]\b)", re.I)  # 's, 't and the like, with the wrong sign
+_closed = re.compile(r"[.!?](?<!\.\.\.)[\"'”’)\]]*\s*$")
+_marks = re.compile("[()\\[\\]{}“”„«»‘’\"<>\\\\&%\ufffd\ud800-\udfff]")
 _no_escape = re.compile(r"(?:(?:^|\s)&|\d\s?%)$")
 
 
 def structure(text: str) -> str:
-    """What a stack automaton finds open at the end of a text, comma-separated: bracket, quote, markup, bytes, escape."""
+    """What a stack automaton finds open at the end of a text, comma-separated: bracket, quote, markup, bytes, escape, and
+    sentence where no terminator closes it (dots that stand for what is missing don't). An empty text leaves nothing open."""
     stack, out = [], []
     straight = 0
+    if not _marks.search(text):
+        return "sentence" if text.strip() and not _closed.search(text) else ""
     for i, c in enumerate(text):
         if c in OPEN and not (c == "‘" and i and text[i - 1].isalnum()):
             stack.append(OPEN[c])
@@ -57,6 +69,8 @@ def structure(text: str) -> str:
         out.append("bytes")
     if re.search(r"(?:\\|&#?\w{0,8}|%[0-9a-fA-F]?|\\u[0-9a-fA-F]{0,3}|\\x[0-9a-fA-F]?)$", text):
         out.append("escape")
+    if text.strip() and not _closed.search(text):
+        out.append("sentence")
     return ",".join(out)
 
 
@@ -69,17 +83,29 @@ def unclosed(text: str, after: list[str] = ()) -> str:
         return ""
     kinds = [k for k in here.split(",") if k != "escape" or not _no_escape.search(text)]
     for x in after:
+        if not any(k in ("bracket", "quote", "markup") for k in kinds):
+            break
         t += " " + _elided.sub("'", x)
         now = structure(t).split(",")
-        kinds = [k for k in kinds if k in ("bytes", "escape") or k in now]
+        kinds = [k for k in kinds if k in ("bytes", "escape", "sentence") or k in now]
     return ",".join(kinds)
 
 
+def _signs(text: str) -> int:
+    """How many signs follow the last letter or digit of a text."""
+    t = text.rstrip()
+    n = len(t)
+    while n and not t[n - 1].isalnum():
+        n -= 1
+    return len(t) - n
+
+
 def _ends(reads: DataFrame) -> DataFrame:
-    """Every row of every reading: KEYS, line_no, line (the pivot's line that it reads), delta (letters by which it goes
-    beyond the pivot's end), words, within, size, last word, open (what the automaton found and
-    no later line of the reading closes)."""
-    cols = [*KEYS, "line_no", "line", "delta", "words", "within", "size", "last", "open", "n"]
+    """Every row of every reading: KEYS, line_no, line (the pivot's line that it reads, or the place and first word of a
+    line that the pivot lacks), delta (letters by which it goes beyond the pivot's end; of a line that the pivot lacks,
+    its letters), words (by which it goes beyond), within (whether it stops within a word), size, last (its last word,
+    if it ends in a letter), tail (its last word in any case), open (what the automaton found and no later line of the reading closes)."""
+    cols = [*KEYS, "line_no", "line", "delta", "words", "within", "size", "last", "tail", "open"]
 
     def run(batches):
         memo: dict = {}
@@ -87,21 +113,30 @@ def _ends(reads: DataFrame) -> DataFrame:
             out = []
             for row, ref, hyp, at in each_batch(b, memo):
                 key = (row.page_id, row.engine, row.model, row.prompt_version, row.variant, whole(row.sample_no))
+                texts, before = list(row.texts), -1
                 for j, i in enumerate(at):
-                    text = row.texts[j]
+                    text, h = texts[j], hyp[j]
                     delta = words = 0
                     within = False
                     if i is not None:
-                        r, h = ref[i], hyp[j]
+                        before, line = i, str(row.p_nos[i])
+                        r = ref[i]
                         if r != h:
-                            k = (tuple(r), tuple(h), "e")
+                            k = (tuple(r), tuple(h), row.p_texts[i][-4:], text[-4:])
                             if k not in memo:
-                                memo[k] = compare(r, h)[1:]
+                                delta, words, within = ending(r, h)
+                                # Signs count where a line stops before the other's end, not where both have the last word.
+                                signs = -_signs(row.p_texts[i]) if delta < 0 else _signs(text) if delta > 0 else 0
+                                memo[k] = delta + signs, words if delta > 0 else -words, within
                             delta, words, within = memo[k]
-                    out.append((*key, row.nos[j], int(row.p_nos[i]) if i is not None else None, delta, words, within, len(text), hyp[j][-1] if hyp[j] and text[-1:].isalpha() else "", unclosed(text, list(row.texts[j + 1 :])), row.n))
-            yield pd.DataFrame(out, columns=cols).astype({"line": "Int32", "sample_no": "Int32"})
+                    elif h:
+                        line, delta, words = f"{before}+{h[0]}", len(" ".join(h)), len(h)
+                    else:
+                        line = None
+                    out.append((*key, row.nos[j], line, delta, words, within, len(text), h[-1] if h and text[-1:].isalpha() else "", h[-1] if h else "", unclosed(text, texts[j + 1 :])))
+            yield pd.DataFrame(out, columns=cols).astype({"sample_no": "Int32"})
 
-    schema = "page_id string, engine string, model string, prompt_version string, variant string, sample_no int, line_no int, line int, delta int, words int, within boolean, size int, last string, open string, n bigint"
+    schema = "page_id string, engine string, model string, prompt_version string, variant string, sample_no int, line_no int, line string, delta int, words int, within boolean, size int, last string, tail string, open string"
     return reads.mapInPandas(run, schema)
 
 
@@ -114,43 +149,84 @@ def limits(values: DataFrame, source: list[str], size: str = "size") -> DataFram
     return beyond.where(ok).select(*source, F.col("mode").alias("field_limit"))
 
 
+SOURCE = ["engine", "model", "prompt_version", "variant"]
+
+
+def baselines(values: DataFrame, source: list[str], is_open: Column) -> DataFrame:
+    """(source..., baseline): the share of a source's values that end without a terminator."""
+    return values.groupBy(*source).agg(F.avg(is_open.cast("double")).alias("baseline"))
+
+
 def lines(transcriptions: DataFrame) -> DataFrame:
-    """KEYS, line_no, is_cut and why, for every row with text.
+    """KEYS, line_no, is_cut and why, size and field_limit, for every row with text.
 
     A row whose line no other reading reads is judged by its source's field limit and by its structure alone.
     """
     rows = cut(_ends(with_pivot(transcriptions)))
-    aligned = rows.where("line IS NOT NULL")
-    # The end that most readings of a line reach; of equally many, the later one.
-    ends = aligned.groupBy("page_id", "line", "delta").agg(F.count("*").alias("k"), F.min("words").alias("w"), F.count_if(F.col("open") != "").alias("open_k"))
-    top = ends.groupBy("page_id", "line").agg(F.max_by(F.struct("delta", "k", "w"), F.struct("k", "delta")).alias("top"), F.sum("k").alias("readers"))
-    top = top.select("page_id", "line", F.col("top.delta").alias("end"), F.col("top.k").alias("backing"), F.col("top.w").alias("end_words"), "readers")
-    own = ends.select("page_id", "line", "delta", F.col("k").alias("like_it"), "open_k")
-    # Words at which lines of the archive may end: those that are no beginnings of others' words at the same place.
-    whole = aligned.where("NOT within AND delta >= 0 AND last <> ''").groupBy("last").agg(F.count_distinct("page_id").alias("pages")).where("pages >= 3").select("last", F.lit(True).alias("whole"))
-    # Beginnings of such words, at least three letters short of the whole.
-    begun = whole.select(F.explode(F.transform(F.sequence(F.lit(2), F.greatest(F.lit(2), F.length("last") - LEAST)), lambda i: F.substring("last", F.lit(1), i))).alias("last")).distinct()
-    begun = begun.join(whole.select("last"), "last", "left_anti").withColumn("begun", F.lit(True))
-    source = ["engine", "model", "prompt_version", "variant"]
-    r = rows.join(maybe_broadcast(limits(rows, source), 100_000), source, "left").join(top, ["page_id", "line"], "left").join(own, ["page_id", "line", "delta"], "left").join(whole, "last", "left").join(begun, "last", "left")
-    behind = F.col("end") - F.col("delta")
+    salts = 8
+    ends = rows.where("line IS NOT NULL").groupBy("page_id", "line", "delta").agg(F.count("*").alias("k"), F.min("words").alias("w"), F.max("last").alias("last"), F.max("tail").alias("tail"), F.count_if(_hard(F.col("open")) != "").alias("open_k"))
+    ends = cut(_judged(ends))
+    # What is decided by the end alone: most rows end where their line does, and only the others meet this table.
+    odd_ends = ends.where(F.col("behind") >= LEAST).unionByName(ends.where((F.col("behind") < LEAST) & ((F.col("readers") < 2) | (F.col("open_k") > 0))))
+    odd_ends = odd_ends.drop("last", "tail").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    # Words at which lines of the archive may end: two readings or more agree on that, for two lines or more; and
+    # beginnings of such words, at least three letters short of the whole.
+    may_end = ends.where("behind = 0 AND k >= 2 AND last <> ''").groupBy("last").count().where("count >= 2").select("last", F.lit(True).alias("whole"))
+    begun = may_end.select(F.explode(F.transform(F.sequence(F.lit(2), F.greatest(F.lit(2), F.length("last") - LEAST)), lambda i: F.substring("last", F.lit(1), i))).alias("last")).distinct()
+    begun = begun.join(may_end.select("last"), "last", "left_anti").withColumn("begun", F.lit(True))
+    stat = limits(rows, SOURCE).join(baselines(rows, SOURCE, F.col("open").contains("sentence")), SOURCE, "right")
+    stat = cut(stat.select(*[F.coalesce(c, F.lit("")).alias(f"s_{c}") for c in SOURCE], "field_limit", "baseline"))
+    r = rows.join(maybe_broadcast(stat, 100_000), [F.coalesce(F.col(c), F.lit("")) == F.col(f"s_{c}") for c in SOURCE], "left").drop(*[f"s_{c}" for c in SOURCE])
+    r = r.withColumn("salt", F.pmod(F.xxhash64(*KEYS), F.lit(salts)).cast("int")).join(maybe_broadcast(odd_ends, 1_000_000), ["page_id", "line", "delta", "salt"], "left")
+    lone = F.col("line").isNull() | (F.coalesce(F.col("readers"), F.lit(2)) < 2)
+    hard, unended = _hard(F.col("open")), F.col("open").contains("sentence")
     at_limit = F.coalesce(F.col("size") == F.col("field_limit"), F.lit(False))
-    odd = F.coalesce(F.col("readers"), F.lit(0)) < 2
+    # Beyond the end of a pivot that is cut itself lengths tell less: who has the line's last word has the line.
+    reached = (F.col("end") > 0) & (F.levenshtein("tail", "end_tail") * 3 <= F.length("end_tail")) & ((F.col("tail") == F.col("end_tail")) | ~F.startswith("end_tail", "tail")) | (F.col("end") > 0) & (F.col("tail") == "?") & ~at_limit
+    behind = F.when(F.coalesce(reached, F.lit(False)), 0).otherwise(F.coalesce("behind", F.lit(0)))
+    r = r.withColumn("behind", behind)
+    doubt = (F.col("k") >= F.col("backing")) & ~(F.col("within") & (F.col("delta") < 0)) & (F.abs("behind") <= 12) & ~at_limit
+    asks = (F.coalesce(F.col("behind"), F.lit(0)) >= LEAST) & (doubt | lone) | lone
+    near = r.where(asks)
+    near = near.join(may_end, "last", "left").join(begun, "last", "left")
+    r = r.where(~F.coalesce(asks, F.lit(False))).withColumns({"whole": F.lit(None).cast("boolean"), "begun": F.lit(None).cast("boolean")}).unionByName(near)
     stops_within = (F.col("last") != "") & F.col("whole").isNull()
     # One word more in one other reading may as well be put in there.
-    doubtful = (F.col("like_it") >= F.col("backing")) & ~((F.col("within") & (F.col("delta") < 0)) | (F.abs(behind) > 12) | at_limit | stops_within)
-    compared = (behind >= LEAST) & ~F.coalesce(doubtful, F.lit(False))
-    alone = odd & ((at_limit & stops_within) | F.coalesce("begun", F.lit(False)) | F.col("open").contains("bytes") | F.col("open").contains("markup") | F.col("open").contains("bracket"))
+    compared = (F.col("behind") >= LEAST) & ~F.coalesce(doubt & ~stops_within, F.lit(False)) & ~lone
+    alone = lone & (unended & (at_limit & stops_within | F.coalesce("begun", F.lit(False)) | (F.col("baseline") <= CLOSES)) | (hard != "") & ~F.col("open").contains("quote") & ~F.col("open").contains("escape"))
     # Where the readings agree on the end, what most of them leave open there tells that the line goes on.
-    agreed = ~odd & (F.col("like_it") >= F.col("backing")) & (F.col("open") != "") & (2 * F.col("open_k") > F.col("like_it"))
-    why = F.when(~odd & compared, F.when(at_limit, "field limit").otherwise("stops before the line's end")).when(alone, F.when(at_limit, "field limit").when(F.col("open") != "", F.col("open")).otherwise("stops within a word")).when(agreed, F.col("open")).when(F.col("open").contains("bytes"), "bytes")
+    agreed = ~lone & (F.col("k") >= F.col("backing")) & (hard != "") & (2 * F.col("open_k") > F.col("k"))
+    found_open = F.when(hard != "", hard).when(unended, "sentence").otherwise("end")
+    why = F.when(compared, F.when(at_limit, "field limit").otherwise(found_open)).when(alone, F.when(at_limit, "field limit").otherwise(found_open)).when(agreed | hard.contains("bytes"), hard)
     return r.select(*KEYS, "line_no", why.isNotNull().alias("is_cut"), why.alias("why"), "size", "field_limit")
 
 
+def _hard(found: Column) -> Column:
+    """The automaton's findings but for the open sentence."""
+    return F.regexp_replace(found, ",?sentence", "")
+
+
+def _judged(ends: DataFrame) -> DataFrame:
+    """ends(page_id, line, delta, k, w, last, tail, open_k) with readers, the line's end (a delta), end_tail (its last word),
+    backing (readings that reach it) and behind, by how many letters each end lies before it.
+
+    The line's end is the one that most readings reach, of equally many the later one; but where a quarter of the readings
+    go on from there by two words or more, which no stray word explains, it is the end of most of these.
+    """
+    line = ["page_id", "line"]
+    top = ends.groupBy(*line).agg(F.max_by(F.struct("delta", "k", "w", "tail"), F.struct("k", "delta")).alias("t"), F.sum("k").alias("readers"))
+    e = ends.join(top, line)
+    beyond = F.col("w") >= F.col("t.w") + 2
+    later = e.groupBy(*line).agg(F.sum(F.when(beyond, F.col("k")).otherwise(0)).alias("later"), F.max_by(F.when(beyond, F.struct("delta", "k", "w", "tail")), F.when(beyond, F.struct("k", "delta"))).alias("l"))
+    e = e.join(later, line).withColumn("t", F.when(4 * F.col("later") >= F.col("readers"), F.coalesce("l", "t")).otherwise(F.col("t")))
+    return e.select(*line, "delta", "k", "last", "tail", "open_k", "readers", F.col("t.delta").alias("end"), F.col("t.tail").alias("end_tail"), F.col("t.k").alias("backing"), (F.col("t.delta") - F.col("delta")).alias("behind"))
+
+
 def summaries(s: DataFrame, col: str = "summary_en", key: str = "letter_id", source: str = "model") -> DataFrame:
-    """(key, source, is_cut, why) of every different non-null text. A text without a terminator is cut if its last word
-    hardly ever ends a sentence in the corpus, or if it has its source's fixed length; any text is cut if the automaton
-    finds something open at its end; an empty text is not cut."""
+    """(key, source, is_cut, why) of every different non-null text. A text is cut if the automaton finds a bracket, quote,
+    markup, character or escape open at its end; where it finds the sentence open, if the text has its source's fixed
+    length, if its last words hardly ever end a sentence in the corpus, or if its source closes nearly all its texts. An
+    empty text is not cut."""
 
     @F.pandas_udf("string")
     def left_open(x: pd.Series) -> pd.Series:
@@ -176,15 +252,17 @@ def summaries(s: DataFrame, col: str = "summary_en", key: str = "letter_id", sou
     t = t.withColumn("begin", F.concat_ws(" ", last, "pair"))
     limit = limits(t, ["source"])
     t = t.join(maybe_broadcast(limit, 100_000), "source", "left").join(words, "word", "left").join(pairs, "pair", "left").join(begins, "begin", "left")
-    open_end = (F.trim("text") != "") & ~F.col("text").rlike(r"[.!?…][\"'”’)\]]*\s*$")
     f1, n1 = F.coalesce("final", F.lit(0)), F.coalesce("inner", F.lit(0))
     f2, n2 = F.coalesce("final2", F.lit(0)), F.coalesce("inner2", F.lit(0))
     f3, n3 = F.coalesce("final3", F.lit(0)), F.coalesce("inner3", F.lit(0))
     may_end = F.when(f3 + n3 >= 2, f3 >= 0.1 * (f3 + n3)).when(f2 + n2 >= 3, f2 >= 0.08 * (f2 + n2)).otherwise(f1 >= F.greatest(F.lit(2), 0.3 * (f1 + n1)))
     within_space = F.col("text").rlike(r"\s$")
-    t = t.withColumn("open", left_open("text"))
-    is_cut = (F.col("open") != "") | open_end & (F.coalesce(F.col("size") == F.col("field_limit"), F.lit(False)) | ~may_end | within_space)
-    why = F.when(is_cut, F.when(F.coalesce(F.col("size") == F.col("field_limit"), F.lit(False)), "field limit").when(F.col("open") != "", F.col("open")).otherwise("stops within a sentence"))
+    t = cut(t.withColumn("open", left_open("text")).select("k", "source", "text", "open", (F.col("size") == F.col("field_limit")).alias("at"), may_end.alias("may_end"), within_space.alias("space")))
+    base = baselines(t, ["source"], F.col("open").contains("sentence"))
+    t = t.join(maybe_broadcast(base, 100_000), "source", "left")
+    hard, at_limit = _hard(F.col("open")), F.coalesce("at", F.lit(False))
+    is_cut = (hard != "") | F.col("open").contains("sentence") & (at_limit | ~F.col("may_end") | F.col("space") | F.coalesce(F.col("baseline") <= CLOSES, F.lit(False)))
+    why = F.when(is_cut, F.when(at_limit, "field limit").when(hard != "", hard).otherwise("sentence"))
     return t.select(F.col("k").alias(key), F.col("source").alias(source), is_cut.alias("is_cut"), why.alias("why"), "text")
 
 

@@ -140,6 +140,14 @@ def test_consensus(spark):
     assert 0.8 < a["agreement"] < 1
 
 
+def test_consensus_text(spark):
+    tr = _readings(spark, {("local", 0): [BASE[0], "Het etten was (vandag) weer goed en", BASE[2] + " nog"], ("local", 1): BASE, ("cloud", 0): BASE, ("cloud", 1): [BASE[0], BASE[1]]})
+    got = {(r["page_id"], r["line_no"]): r["text"] for r in consensus.consensus_text(tr).collect()}
+    assert got == {("p", 1): BASE[0], ("p", 2): "Het eten was (vandaag) weer goed en", ("p", 3): BASE[2]}
+    assert consensus.consensus_text(tr.limit(0)).count() == 0
+    assert consensus.rewritten("a – b", {1: "x", 2: "of"}) == "x – of b" and consensus.rewritten("a", {-1: ""}) is None
+
+
 def test_consensus_converges(spark):
     rng = random.Random(5)
     said = {}
@@ -167,8 +175,9 @@ def test_alignment():
 
 
 def test_structure():
-    for t, want in [("(a [b", "bracket"), ('hij zei "ja', "quote"), ("<p>a", "markup"), ("a <b", "markup"), ("ab�", "bytes"), ("a &am", "escape"), ("a (b) <br/> c.", ""), ("", "")]:
-        assert truncation.structure(t) == want
+    for t, want in [("(a [b", "bracket"), ('hij zei "ja', "quote"), ("<p>a", "markup"), ("a <b", "markup"), ("ab�", "bytes"), ("a &am", "escape"), ("a (b) <br/> c.", ""), ("", ""), ("hij ging", "sentence"), ("hij ging...", "sentence"), ("hij ging?”", "")]:
+        got = truncation.structure(t)
+        assert (got if want in ("", "sentence") else got.replace(",sentence", "")) == want
 
 
 def test_truncated(spark):
@@ -181,6 +190,23 @@ def test_truncated(spark):
     assert truncation.found(tr.limit(0), sm.limit(0)).count() == 0
 
 
+def test_endings():
+    end = lambda r, h: readings.ending(r.split(), h.split())
+    assert end("dat begrijpt de tolk op het", "dat begrijpt de t") == (-10, 2, True)
+    assert end("warme karnemelk en een", "warme kar nem")[0] == -10
+    assert end("de nieuwe korporaal ligt", "de nieuwe ee") == (-15, 2, False)
+    assert end("er vol goeden moed", "er vol goed") == (-7, 1, True)
+    assert end("de groeten ook de buren", "de groeten de buren") == (0, 0, False) == end("de lange man", "de lang man")
+
+
+def test_truncated_pivot(spark):
+    full = "het eten was vandaag weer goed en, want de kok"
+    said = {("local", 0): full[:20], ("local", 1): full, ("local", 2): full, ("cloud", 0): full.replace("weer ", ""), ("cloud", 1): full[:30] + "...", ("cloud", 2): full[:-3]}
+    tr = _readings(spark, {k: [BASE[0], v, BASE[2]] for k, v in said.items()})
+    got = {(r["engine"], r["sample_no"]) for r in truncation.lines(tr).where("is_cut AND line_no = 2").collect()}
+    assert got == {("local", 0), ("cloud", 1), ("cloud", 2)}
+
+
 def test_truncated_by_structure(spark):
     sm = spark.createDataFrame([(f"L{i}", "x", t, None, [], "m", None) for i, t in enumerate(["He went (as usual home again.", "He said “we go home again.", "He went (as usual) home again."])], FRAMES["summaries"])
     assert sorted(r["letter_id"] for r in truncation.summaries(sm).where("is_cut").collect()) == ["L0", "L1"]
