@@ -38,6 +38,15 @@ def cut(df: DataFrame, eager: bool = True) -> DataFrame:
     return df.checkpoint(eager)
 
 
+def forget(df: DataFrame) -> None:
+    """Deletes the checkpoint of a cut frame that nothing will read any more."""
+    jvm = df.sparkSession._jvm
+    at = df._jdf.queryExecution().analyzed().rdd().getCheckpointFile()
+    if at.isDefined():
+        p = jvm.org.apache.hadoop.fs.Path(at.get())
+        p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def parts(spark: SparkSession) -> int:
     """Partitions of a shuffle, as the session sets them."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
