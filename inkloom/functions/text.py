@@ -132,10 +132,8 @@ def marked(tokens: Column) -> Column:
     return F.array_join(F.transform(tokens, lambda t: F.when(F.size(t["alternatives"]) > 0, F.concat(F.lit("{"), t["text"], F.lit("|"), F.array_join(t["alternatives"], "|"), F.lit("}"))).otherwise(t["text"])), " ")
 
 
-def snippet(line: Column, needle: str, before: int = 30, after: int = 60) -> Column:
-    """The line around the first hit of the needle, which is set in « »."""
+def snippet(line: Column, needle: str) -> Column:
+    """The line with the first hit of the needle, case aside, set in « »."""
     at = F.instr(F.lower(line), F.lit(needle.lower()))
-    start = F.greatest(F.lit(1), at - before)
     n = len(needle)
-    text = F.concat(F.substr(line, start, at - start), F.lit("«"), F.substr(line, at, F.lit(n)), F.lit("»"), F.substr(line, at + n, F.lit(after)))
-    return F.when(at > 0, text)
+    return F.when(at > 0, F.concat(F.substr(line, F.lit(1), at - 1), F.lit("«"), F.substr(line, at, F.lit(n)), F.lit("»"), F.substr(line, at + n)))

@@ -19,9 +19,10 @@ def join_lines(transcriptions: DataFrame) -> DataFrame:
 
 
 def finals(letters: DataFrame) -> DataFrame:
-    """The current best texts as readings of a system of their own."""
-    one = letters.where("text_final IS NOT NULL").groupBy("page_id").agg(F.max("text_final").alias("hyp"))
-    return one.select("page_id", F.lit("final").alias("engine"), F.lit("-").alias("model"), F.lit("-").alias("prompt_version"), F.lit("-").alias("variant"), F.lit(0).alias("sample_no"), "hyp")
+    """The current texts as readings of a system of their own, whose model is where the text comes from (auto, reviewed,
+    gold). Repeated deliveries count once; pages without a text are left out."""
+    one = letters.where("text_final IS NOT NULL").select("page_id", F.col("text_source").alias("model"), F.col("text_final").alias("hyp")).distinct()
+    return one.select("page_id", F.lit("final").alias("engine"), "model", F.lit("-").alias("prompt_version"), F.lit("-").alias("variant"), F.lit(0).alias("sample_no"), "hyp")
 
 
 def score(readings: DataFrame, gold: DataFrame) -> DataFrame:
@@ -41,3 +42,14 @@ def leaderboard(scored: DataFrame) -> DataFrame:
     """Per system: pages, samples, mean error rates; lowest character error rate first."""
     g = scored.groupBy(*SYSTEM).agg(F.count_distinct("page_id").alias("pages"), F.count("*").alias("samples"), F.avg("cer").alias("cer"), F.avg("wer").alias("wer"), F.avg("name_recall").alias("name_recall"))
     return g.orderBy(F.asc_nulls_first("cer"))
+
+
+def detail(scored: DataFrame) -> DataFrame:
+    """Every scored reading, the worst first."""
+    return scored.orderBy(F.desc_nulls_first("cer"), "page_id", *SYSTEM, "sample_no")
+
+
+def rendered(board: DataFrame) -> DataFrame:
+    """The leaderboard as text, three decimals each, null as None."""
+    number = lambda c: F.coalesce(F.format_string("%.3f", F.col(c)), F.lit("None"))
+    return board.select(*[number(c).alias(c) if t == "double" else F.coalesce(F.col(c).cast("string"), F.lit("None")).alias(c) for c, t in board.dtypes])

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from inkloom.functions import jsonx
 from inkloom.functions import text as T
-from inkloom.operators import clock, fuzzy, images, scoring, views, voting
+from inkloom.operators import clock, fuzzy, images, scoring, transcribe, views, voting
 from inkloom.session import table as t
 from inkloom.sources import store
 
@@ -65,7 +65,21 @@ def s_distance(r: str, h: str) -> str:
 
 S_READINGS = """with lines as (select distinct page_id, engine, model, prompt_version, variant, sample_no, line_no, text from transcriptions where text is not null),
 readings as (select page_id, engine, model, prompt_version, variant, sample_no, string_agg(text, chr(10) order by line_no, text) as hyp from lines group by all)"""
-S_FINALS = "finals as (select page_id, 'final' as engine, '-' as model, '-' as prompt_version, '-' as variant, 0 as sample_no, max(text_final) as hyp from letters where text_final is not null group by page_id)"
+S_FINALS = "finals as (select distinct page_id, 'final' as engine, text_source as model, '-' as prompt_version, '-' as variant, 0 as sample_no, text_final as hyp from letters where text_final is not null)"
+S_DAY = r"try_cast(nullif(regexp_extract({}, '^(?:[A-Za-z]\w*-)?(\d{{4}}-\d{{2}}-\d{{2}})', 1), '') as date)"
+S_INDEX = f"""p as (select distinct page_id, filename, page_no, coalesce(letter_id, '(los) ' || filename) as letter from pages), g as (select letter, list(page_id order by coalesce(page_no, 0), filename, page_id) as page_ids from p group by letter),
+m as (select letter_id, max(date) as date, max(place) as place, max(title) as title from letter_meta group by letter_id),
+idx as (select letter, coalesce(m.date, {S_DAY.format('letter')}) as date, place, title, page_ids from g left join m on g.letter = m.letter_id)"""
+#: The one row of each page that counts: the largest letter, then number.
+S_PAGE = "(select page_id, letter_id, page_no from (select *, row_number() over (partition by page_id order by letter_id desc nulls last, page_no desc nulls last) as rn from pages where page_id is not null) where rn = 1)"
+#: Every different text of a page, checked or current.
+S_TEXTS = "x as (select distinct page_id, text from (select page_id, gold_text as text from gold union all select page_id, text_final from letters) where text is not null)"
+S_LINES = f"list_filter(regexp_split_to_array(text, '{S_BREAKS}'), lambda l: regexp_matches(l, '[^\\s\\p{{Z}}\\x{{0B}}\\x{{1C}}-\\x{{1F}}\\x{{85}}]') and not regexp_matches(l, '^{S_SPACE}*#'))"
+
+
+def _texts(spark, d):
+    a = t(spark, d, "gold").select("page_id", F.col("gold_text").alias("text"))
+    return a.unionByName(t(spark, d, "letters").select("page_id", F.col("text_final").alias("text"))).where("text IS NOT NULL").distinct()
 
 
 # Scans, filters, projections ------------------------------------------------------------------------------------------
@@ -123,7 +137,9 @@ def parse_date(spark, d):
 
 @query(
     """with x as (select distinct letter_id from letter_events where letter_id is not null)
-select letter_id, try_cast(nullif(regexp_extract(letter_id, '(\\d{4}-\\d{2}-\\d{2})', 1), '') as date) as day from x"""
+select letter_id, """
+    + S_DAY.format("letter_id")
+    + " as day from x"
 )
 def letter_day(spark, d):
     return t(spark, d, "letter_events").where("letter_id IS NOT NULL").select("letter_id").distinct().select("letter_id", views.date_of_letter(F.col("letter_id")).alias("day"))
@@ -140,9 +156,9 @@ def dutch_dates(spark, d):
 # Text functions ---------------------------------------------------------------------------------------------------------
 
 
-@query(f"select page_id, {s_norm('gold_text')} as t from gold")
+@query(f"with {S_TEXTS} select page_id, text, {s_norm('text')} as t from x")
 def normalise_plain(spark, d):
-    return t(spark, d, "gold").select("page_id", T.normalise(F.col("gold_text")).alias("t"))
+    return _texts(spark, d).select("page_id", "text", T.normalise(F.col("text")).alias("t"))
 
 
 @query(f"select doc_id, {s_norm('text', True)} as t from documents")
@@ -155,15 +171,15 @@ def proper_nouns(spark, d):
     return t(spark, d, "documents").where("text IS NOT NULL").select("doc_id", F.array_sort(T.proper_nouns(F.col("text"))).alias("names"))
 
 
-S_LINE_PAIRS = """with x as (select distinct page_id, line_no, engine, sample_no, text from transcriptions where text is not null and engine in ('cloud_a', 'cloud_b') and sample_no = 0),
-p as (select a.page_id, a.line_no, a.text as a, b.text as b from x a join x b on a.page_id = b.page_id and a.line_no = b.line_no where a.engine = 'cloud_a' and b.engine = 'cloud_b')"""
+S_LINE_PAIRS = """with l as (select page_id, line_no, min(text) as a from transcriptions where text is not null and engine = 'local' and sample_no = 0 group by page_id, line_no),
+o as (select distinct page_id, line_no, text as b from transcriptions where text is not null), p as (select page_id, line_no, a, b from l join o using (page_id, line_no))"""
 
 
 def _line_pairs(spark, d):
-    x = t(spark, d, "transcriptions").where("text IS NOT NULL AND engine IN ('cloud_a', 'cloud_b') AND sample_no = 0").select("page_id", "line_no", "engine", "sample_no", "text").distinct()
-    a = x.where("engine = 'cloud_a'").select("page_id", "line_no", F.col("text").alias("a"))
-    b = x.where("engine = 'cloud_b'").select("page_id", "line_no", F.col("text").alias("b"))
-    return a.join(b, ["page_id", "line_no"])
+    """Every different text that a reading has for a line, beside the reference reading's line of that number."""
+    x = t(spark, d, "transcriptions").where("text IS NOT NULL")
+    a = x.where("engine = 'local' AND sample_no = 0").groupBy("page_id", "line_no").agg(F.min("text").alias("a"))
+    return a.join(x.select("page_id", "line_no", F.col("text").alias("b")).distinct(), ["page_id", "line_no"]).select("page_id", "line_no", "a", "b")
 
 
 @query(
@@ -186,31 +202,32 @@ def wer_lines(spark, d):
     return x.select("page_id", "line_no", "a", "b", F.round(T.wer(F.col("r"), F.col("h")), 9).alias("wer"))
 
 
-@query("select page_id, array_to_string(list_filter(string_split(gold_text, chr(10)), lambda l: trim(l) <> '' and not starts_with(trim(l), '#')), chr(10)) as t from gold")
+@query(f"with {S_TEXTS} select page_id, array_to_string({S_LINES}, chr(10)) as t from x")
 def gold_clean(spark, d):
-    return t(spark, d, "gold").select("page_id", F.array_join(jsonx.gold_lines(F.col("gold_text")), "\n").alias("t"))
+    return _texts(spark, d).select("page_id", F.array_join(jsonx.gold_lines(F.col("text")), "\n").alias("t"))
 
 
-@query()
+@query(f"with {S_TEXTS} select page_id, to_json({{'lines': list_transform({S_LINES}, lambda l, i: {{'n': i, 'text': l, 'confidence': 'high'}})}})::varchar as reply from x")
 def gold_json(spark, d):
-    return t(spark, d, "gold").select("page_id", jsonx.gold_json(F.col("gold_text")).alias("reply"))
+    return _texts(spark, d).select("page_id", jsonx.gold_json(F.col("text")).alias("reply"))
 
 
-@query(
-    """with x as (select page_id, list_filter(string_split(gold_text, chr(10)), lambda l: trim(l) <> '' and not starts_with(trim(l), '#')) as a from gold)
-select page_id, unnest(range(1, len(a) + 1))::int as n, unnest(a) as text, 'high' as confidence from x"""
-)
+@query(f"with {S_TEXTS}, y as (select page_id, {S_LINES} as a from x) select page_id, unnest(range(1, len(a) + 1))::int as n, unnest(a) as text, 'high' as confidence from y")
 def parse_lines_json(spark, d):
-    x = t(spark, d, "gold").select("page_id", F.explode(jsonx.parse_lines(jsonx.gold_json(F.col("gold_text")))).alias("l"))
-    return x.select("page_id", "l.n", "l.text", "l.confidence")
+    x = _texts(spark, d).withColumn("reply", jsonx.gold_json(F.col("text"))).where(jsonx.well_formed(F.col("reply")))
+    return x.select("page_id", F.explode(jsonx.parse_lines(F.col("reply"))).alias("l")).select("page_id", "l.n", "l.text", "l.confidence")
 
 
-@query("select letter_id, name, coalesce(detail, '') as role from entities where kind = 'person' and name is not null")
+@query("select letter_id, kind, name, detail, case when kind = 'person' then context end as context from entities where kind in ('person', 'place')")
 def json_bags(spark, d):
-    """Replies made from the table and taken apart again."""
-    e = t(spark, d, "entities").where("kind = 'person' AND name IS NOT NULL")
-    reply = F.concat(F.lit("```json\n"), F.to_json(F.struct(F.array(F.struct(F.col("name"), F.coalesce("detail", F.lit("")).alias("role"))).alias("people"))), F.lit("\n```"))
-    return e.select("letter_id", F.explode(jsonx.bags(reply)["people"]).alias("p")).select("letter_id", "p.name", "p.role")
+    """The replies that would give each letter's people and places, taken apart again."""
+    e = t(spark, d, "entities")
+    people = F.filter(F.collect_list(F.when(F.col("kind") == "person", F.struct("name", F.col("detail").alias("role_guess"), "context"))), lambda x: x.isNotNull())
+    places = F.filter(F.collect_list(F.when(F.col("kind") == "place", F.struct("name", F.col("detail").alias("modern_name")))), lambda x: x.isNotNull())
+    reply = F.concat(F.lit("```json\n"), F.to_json(F.struct(people.alias("people"), places.alias("places"))), F.lit("\n```"))
+    b = e.groupBy("letter_id").agg(reply.alias("reply")).select("letter_id", jsonx.bags(F.col("reply")).alias("b"))
+    a = b.select("letter_id", F.explode("b.people").alias("x")).select("letter_id", F.lit("person").alias("kind"), "x.name", F.col("x.role_guess").alias("detail"), "x.context")
+    return a.unionByName(b.select("letter_id", F.explode("b.places").alias("x")).select("letter_id", F.lit("place").alias("kind"), "x.name", F.col("x.modern_name").alias("detail"), F.lit(None).cast("string").alias("context")))
 
 
 # Scoring ------------------------------------------------------------------------------------------------------------------
@@ -342,18 +359,14 @@ def letter_texts(spark, d):
     return views.letter_texts(t(spark, d, "pages"), t(spark, d, "letters"))
 
 
-@query(
-    """with p as (select distinct page_id, filename, page_no, coalesce(letter_id, '(los) ' || filename) as letter from pages), g as (select letter, list(page_id order by coalesce(page_no, 0), filename, page_id) as page_ids from p group by letter),
-m as (select letter_id, max(date) as date, max(place) as place from letter_meta group by letter_id)
-select letter, coalesce(m.date, try_cast(nullif(regexp_extract(letter, '(\\d{4}-\\d{2}-\\d{2})', 1), '') as date)) as date, place, page_ids from g left join m on g.letter = m.letter_id"""
-)
+@query(f"with {S_INDEX} select * from idx")
 def letter_index(spark, d):
     return views.letter_index(t(spark, d, "pages"), t(spark, d, "letter_meta"))
 
 
-S_HITS = """with x as (select distinct page_id, text_final from letters where text_final is not null), l as (select page_id, string_split(text_final, chr(10)) as a from x), k as (select page_id, unnest(range(1, len(a) + 1)) as line_no, unnest(a) as line from l),
-o as (select page_id, max(letter_id) as letter_id from pages group by page_id), h as (select *, instr(lower(line), 'haven') as pos from k),
-hits as (select h.page_id, coalesce(o.letter_id, '?') as letter_id, line_no, line, substr(line, greatest(1, pos - 30), pos - greatest(1, pos - 30)) || '«' || substr(line, pos, 5) || '»' || substr(line, pos + 5, 60) as snippet from h left join o on h.page_id = o.page_id where pos > 0)"""
+S_HITS = f"""with x as (select distinct page_id, text_final from letters where text_final is not null), l as (select page_id, string_split(text_final, chr(10)) as a from x), k as (select page_id, unnest(range(1, len(a) + 1)) as line_no, unnest(a) as line from l),
+o as {S_PAGE}, h as (select *, instr(lower(line), 'haven') as pos from k),
+hits as (select h.page_id, coalesce(o.letter_id, '?') as letter_id, o.page_no, line_no, line, substr(line, 1, pos - 1) || '«' || substr(line, pos, 5) || '»' || substr(line, pos + 5) as snippet from h left join o on h.page_id = o.page_id where pos > 0)"""
 
 
 @query(S_HITS + " select * from hits")
@@ -377,7 +390,7 @@ def entity_groups(spark, d):
 
 
 S_TIMELINE = (
-    "with line as (select date, description as label, 'event' as kind from letter_events where source = 'extracted' and date is not null union all select date, letter_id, 'letter' from letter_meta where date is not null union all select * from (values "
+    f"with {S_INDEX}, line as (select date, description as label, 'event' as kind from letter_events where source = 'extracted' and date is not null union all select date, letter, 'letter' from idx where date is not null union all select * from (values "
     + ", ".join(f"(date '{a}', '{b}', 'anchor')" for a, b in views.ANCHORS)
     + "))"
 )
@@ -385,12 +398,12 @@ S_TIMELINE = (
 
 @query(S_TIMELINE + " select date, label, kind from line")
 def timeline_events(spark, d):
-    return views.timeline(spark, t(spark, d, "letter_events"), t(spark, d, "letter_meta"))
+    return views.timeline(spark, t(spark, d, "letter_events"), letter_index(spark, d))
 
 
 @query(S_TIMELINE + " select min(date) as first, max(date) as last, (min(date) - interval 2 month)::date as axis_from, (max(date) + interval 2 month)::date as axis_to from line")
 def timeline_extent(spark, d):
-    return views.timeline_extent(views.timeline(spark, t(spark, d, "letter_events"), t(spark, d, "letter_meta")))
+    return views.timeline_extent(timeline_events(spark, d))
 
 
 @query(
@@ -401,27 +414,56 @@ def reader_view(spark, d):
     return views.reader(t(spark, d, "pages"), t(spark, d, "letters"), t(spark, d, "summaries"))
 
 
-@query()
+@query(
+    """with x as (select distinct page_id, text_final, uncertain_spans from letters where text_final is not null), l as (select page_id, uncertain_spans, string_split(text_final, chr(10)) as a from x),
+k as (select page_id, uncertain_spans, unnest(range(1, len(a) + 1)) as line_no, unnest(a) as line from l), w as (select page_id, line_no, list_filter(uncertain_spans, lambda s: s.line_no = line_no) as spans, unnest(string_split(line, ' ')) as word from k),
+m as (select page_id, line_no::int as line_no, word, list_filter(spans, lambda s: s.word = word)[1].alternatives as alternatives from w) select * from m where alternatives is not null"""
+)
 def marked_lines(spark, d):
     return views.marked_lines(t(spark, d, "letters"))
 
 
-@query(
-    """with p as (select page_id, max(letter_id) as letter_id, max(page_no) as page_no from pages where letter_id is not null and page_no is not null group by page_id),
-f as (select letter_id, page_no + 1 as page_no, min(page_id) as before from p group by letter_id, p.page_no), x as (select page_id as before, string_split(max(text_final), chr(10)) as a from letters where text_final is not null group by page_id)
-select p.page_id, p.letter_id, f.before as previous_page, array_to_string(a[greatest(1, len(a) - 2):], chr(10)) as context from p join f on p.letter_id = f.letter_id and p.page_no = f.page_no join x on f.before = x.before"""
-)
+S_CONTEXT = f"""with p as {S_PAGE}, f as (select letter_id, page_no + 1 as page_no, min(page_id) as previous_page from p where letter_id is not null and page_no is not null group by letter_id, p.page_no),
+x as (select page_id as previous_page, string_split(regexp_replace(max(text_final), chr(10) || '$', ''), chr(10)) as a from letters where text_final is not null group by page_id),
+j as (select p.page_id, p.letter_id, p.page_no, f.previous_page, array_to_string(a[greatest(1, len(a) - 2):], chr(10)) as tail from p left join f on p.letter_id = f.letter_id and p.page_no = f.page_no and f.page_no > 1 left join x on f.previous_page = x.previous_page),
+c as (select page_id, letter_id, previous_page, tail, concat_ws(chr(10), case when letter_id <> '' then 'Letter id: ' || letter_id || '.' end, case when page_no <> 0 then 'This is page ' || page_no || ' of the letter.' end, 'The previous page ended with:' || chr(10) || tail) as context from j)"""
+
+
+@query(S_CONTEXT + " select * from c")
 def page_context(spark, d):
     return views.page_context(t(spark, d, "pages"), t(spark, d, "letters"))
 
 
+S_STEM = r"coalesce(nullif(regexp_extract(filename, '^(.+)\.[^.]*$', 1), ''), filename)"
+S_SHOTS = f"""s as (select page_id, {S_STEM} as stem from pages), h as (select distinct page_id from s where stem in (select stem from s where page_id = (select min(page_id) from gold))),
+g as (select distinct page_id as shot from gold where page_id not in (select page_id from h) order by 1 limit 3), q as (select distinct page_id from pages where page_id is not null),
+r as (select q.page_id, g.shot, row_number() over (partition by q.page_id order by g.shot) as n from q join g on q.page_id <> g.shot), shots as (select * from r where n <= 2)"""
+
+
+def _shots(spark, d):
+    g, p = t(spark, d, "gold"), t(spark, d, "pages")
+    held = p.join(g.agg(F.min("page_id").alias("page_id")), "page_id", "left_semi").select(T.stem(F.col("filename")).alias("stem")).distinct()
+    return views.few_shot(g, held, p)
+
+
+@query(f"with {S_SHOTS} select * from shots")
+def few_shot(spark, d):
+    return _shots(spark, d)
+
+
 @query(
-    """with h as (select min(page_id) as page_id from gold), c as (select distinct page_id as shot from gold where page_id not in (select page_id from h) order by 1 limit 3), p as (select distinct page_id from pages where page_id is not null),
-r as (select p.page_id, c.shot, row_number() over (partition by p.page_id order by c.shot) as n from p join c on p.page_id <> c.shot) select * from r where n <= 2"""
+    S_CONTEXT
+    + f""", {S_SHOTS}, n as (select page_id, count(*) as k from shots group by page_id)
+select c.page_id, (coalesce(k, 0) + 1)::int as user_turns, (2 * coalesce(k, 0) + 1)::int as turns, 'Transcribe this page. The first image is the full page; the next 2 images are zoomed crops of the same page, top to bottom.' || case when context <> '' then chr(10) || context else '' end as said
+from c left join n on c.page_id = n.page_id"""
 )
-def few_shot(spark, d):
-    g = t(spark, d, "gold")
-    return views.few_shot(g, g.agg(F.min("page_id").alias("page_id")), t(spark, d, "pages").where("page_id IS NOT NULL"))
+def page_messages(spark, d):
+    """What a model would be sent for every page: examples, image, bands, context."""
+    c = page_context(spark, d).withColumns({"image": store.image_path(F.col("page_id")), "bands": F.array(F.concat("page_id", F.lit("_band0.jpg")), F.concat("page_id", F.lit("_band1.jpg")))})
+    shots = _shots(spark, d).withColumn("image", store.image_path(F.col("shot")))
+    m = F.col("messages")
+    last = F.element_at(F.element_at(m, -1)["parts"], -1)["text"]
+    return transcribe.messages(c, shots, t(spark, d, "gold")).select("page_id", transcribe.user_turns(m).alias("user_turns"), F.size(m).alias("turns"), last.alias("said"))
 
 
 # Images --------------------------------------------------------------------------------------------------------------------
@@ -429,7 +471,7 @@ def few_shot(spark, d):
 
 @query(
     """with x as (select page_id, height, unnest(range(0, 5))::int as band from pages where height is not null), y as (select page_id, height, band, band * (height / (5 - 4 * 0.18::double)) * (1 - 0.18::double) as a, height / (5 - 4 * 0.18::double) as step from x)
-select page_id, height, band, round_even(a, 0)::int as y0, least(height, round_even(a + step, 0)::int) as y1 from y"""
+select page_id, height, band, round_even(a, 0)::int as y0, least(height, round_even(a, 0)::int + round_even(step, 0)::int) as y1 from y"""
 )
 def band_geometry(spark, d):
     return images.bands(t(spark, d, "pages").select("page_id", "height"))

@@ -45,6 +45,44 @@ def exif(data: bytes | None) -> tuple[str | None, str | None]:
     return (str(taken) if taken else None), camera
 
 
+def size(data: bytes | None) -> tuple[int | None, int | None]:
+    """(width, height) from the header of a JPEG, PNG, WebP or TIFF; None where it is none or broken."""
+    d = data or b""
+    try:
+        if d[:8] == b"\x89PNG\r\n\x1a\n":
+            return struct.unpack_from(">II", d, 16)
+        if d[:2] == b"\xff\xd8":
+            at = 2
+            while at < len(d):
+                if d[at] != 0xFF or d[at + 1] == 0xFF:
+                    at += 1
+                elif 0xC0 <= d[at + 1] <= 0xCF and d[at + 1] not in (0xC4, 0xC8, 0xCC):
+                    h, w = struct.unpack_from(">HH", d, at + 5)
+                    return w, h
+                else:
+                    at += 2 + (0 if 0xD0 <= d[at + 1] <= 0xD9 or d[at + 1] == 1 else struct.unpack_from(">H", d, at + 2)[0])
+        if d[:4] == b"RIFF" and d[8:12] == b"WEBP":
+            if d[12:16] == b"VP8X":
+                return 1 + int.from_bytes(d[24:27], "little"), 1 + int.from_bytes(d[27:30], "little")
+            if d[12:16] == b"VP8L":
+                x = int.from_bytes(d[21:25], "little")
+                return 1 + (x & 0x3FFF), 1 + (x >> 14 & 0x3FFF)
+            w, h = struct.unpack_from("<HH", d, 26)
+            return w & 0x3FFF, h & 0x3FFF
+        order = {b"II": "<", b"MM": ">"}.get(d[:2])
+        if order:
+            (first,) = struct.unpack_from(order + "I", d, 4)
+            (n,) = struct.unpack_from(order + "H", d, first)
+            tags = {}
+            for k in range(n):
+                tag, kind = struct.unpack_from(order + "HH", d, first + 2 + 12 * k)
+                tags[tag] = struct.unpack_from(order + ("H" if kind == 3 else "I"), d, first + 10 + 12 * k)[0]
+            return tags.get(256), tags.get(257)
+    except (struct.error, IndexError):
+        pass
+    return None, None
+
+
 def images(spark: SparkSession, root: str) -> DataFrame:
     """Image files below a folder, of any case of suffix: path, content."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
@@ -54,9 +92,9 @@ def images(spark: SparkSession, root: str) -> DataFrame:
 def register(files: DataFrame, letter: str | None = None) -> DataFrame:
     """Rows of the pages frame for image files; equal bytes are one page_id under any name."""
 
-    @F.pandas_udf("taken string, camera string")
+    @F.pandas_udf("taken string, camera string, width int, height int")
     def tags(content: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([exif(c) for c in content], columns=["taken", "camera"])
+        return pd.DataFrame([exif(c) + size(c) for c in content], columns=["taken", "camera", "width", "height"]).astype({"width": "Int32", "height": "Int32"})
 
     name = F.regexp_extract("path", r"([^/]+)$", 1)
     s = stem(name)
@@ -65,7 +103,7 @@ def register(files: DataFrame, letter: str | None = None) -> DataFrame:
     return x.select(
         content_id(F.col("content")).alias("page_id"), F.col("path").alias("source_path"), name.alias("filename"),
         (F.lit(letter) if letter else letter_of(s)).alias("letter_id"), page_of(s).alias("page_no"), taken.alias("captured_at"), F.col("x.camera").alias("camera"),
-        F.lit(None).cast("int").alias("width"), F.lit(None).cast("int").alias("height"), F.current_timestamp().cast("timestamp_ntz").alias("ingested_at"),
+        F.col("x.width").alias("width"), F.col("x.height").alias("height"), F.current_timestamp().cast("timestamp_ntz").alias("ingested_at"),
     )
 
 
@@ -78,8 +116,14 @@ def gold(spark: SparkSession, folder: str, pages: DataFrame) -> DataFrame:
 
 
 def names(spark: SparkSession, path: str) -> DataFrame:
-    """The lines of a list, without blank ones and those that start with #."""
-    return spark.read.text(path).select(F.trim("value").alias("name")).where("name <> '' AND NOT startswith(name, '#')")
+    """The trimmed lines of a list, without blank ones and those that begin with # (a # after blanks begins none)."""
+    t = spark.read.text(path).where(~F.col("value").startswith("#"))
+    return t.select(F.regexp_replace("value", r"^[\s\p{Z}]+|[\s\p{Z}]+$", "").alias("name")).where("name <> ''")
+
+
+def holdout(spark: SparkSession, path: str) -> DataFrame:
+    """(stem): the file names, without suffix, that a holdout list keeps out of examples; a list of names."""
+    return names(spark, path).select(F.col("name").alias("stem"))
 
 
 def prompt(spark: SparkSession, path: str) -> tuple[str, str]:

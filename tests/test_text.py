@@ -93,3 +93,17 @@ def test_json_lines(spark):
 def test_gold_json(spark):
     s = one(spark, jsonx.gold_json(F.col("s")), s="# note\nline one\n\nline two\n")
     assert '"n":2' in s and "note" not in s
+    assert '"n":2' in one(spark, jsonx.gold_json(F.col("s")), s="a\r\n\u00a0\n\t# x\u2028b")
+
+
+def test_reply_check(spark):
+    ok = lambda s: one(spark, jsonx.well_formed(F.col("s")), s=s)
+    assert ok('{"lines":[{"n":1,"text":"a","confidence":"low"}]}') and ok('{"lines":[]}')
+    assert not any(ok(s) for s in ('{"lines":[{"n":1,"text":"a"}]}', '{"lines":[{"n":1,"text":"a","confidence":"x"}]}', '{"lines":[{"n":"1.5","text":"a","confidence":"low"}]}', "a", "", None, '{"x":1}'))
+
+
+def test_reply_recovery(spark):
+    got = lambda s: one(spark, jsonx.recovered(F.col("s")), s=s)
+    r = '{"type":"result","is_error":false,"result":"hi","total_cost_usd":0.5,"usage":{"input_tokens":5,"output_tokens":4},"modelUsage":{"m":{}},"structured_output":{"lines":[]}}'
+    assert tuple(got(r)) == (False, '{"lines": []}', "m", 5, 4, 0.5) == tuple(got("log line\n" + r)) == tuple(got('[{"type":"x"},' + r + ',{"type":"y"}]'))
+    assert got('{"is_error":true,"result":"no"}')["is_error"] and got("nothing") is None and got(None) is None
