@@ -1,10 +1,12 @@
 """Evaluation passages that got into a corpus (problem 9).
 
-Method: pigeonhole edit matching. A passage of n words with up to k changed words is cut by the changes into k+1 runs,
-of which one has at least (n-k)/(k+1) words unchanged; so every run of PIECE words of every item is a piece, and each
-exact hit of a piece in a document is a seed. From its seed the match is extended word by word in both directions over
-the letter streams; a word that differs is measured with Myers' bit-parallel distance and the stream picks up again at
-the item's next words. A case needs at least LEAST words of which at most one in ten is changed.
+Method: pigeonhole edit matching. A passage of n words may have k = n / 10 changed words, the error budget. The changes
+cut it into k+1 runs, of which one has at least (n-k)/(k+1) words unchanged: for every n from LEAST on that is PIECE
+words or more. So every run of PIECE words of every item is a piece, a passage can't be without an exact piece hit, and
+each hit is a seed. From its seed the match is extended word by word in both directions over the letter streams; a word
+that differs is measured with Myers' bit-parallel distance and the stream picks up again at the item's next words. The
+longest stretch of LEAST words or more within the budget is then verified whole: Myers' distance of its letters to the
+document's must be within what its budget of words allows.
 
 Documents are compared as streams of letters and digits in usual characters and lower case, so that case, punctuation,
 line breaks, hyphenation and stored character forms don't count. The items are the query set: they are collected behind
@@ -23,10 +25,9 @@ from pyspark.sql import functions as F
 
 from inkloom.llm.forms import usual
 
-PIECE = 5
-LEAST = 14
-#: Shorter passages without LEAST unchanged words in a row must not be part of a longer likeness that is changed too often.
-SURE = 20
+LEAST, SHARE = 14, 10
+#: Words of a piece: the least that any passage must have unchanged in a row.
+PIECE = min(-(-(n - n // SHARE) // (n // SHARE + 1)) for n in range(LEAST, 40 * SHARE))
 #: Characters of all items that one broadcast holds; a larger item set is matched in blocks of this size.
 BLOCK_CHARS = 20_000_000
 _word = re.compile(r"[^\W_]+")
@@ -78,17 +79,39 @@ def myers(pattern: str, text: str) -> tuple[int, int]:
     return best, at
 
 
-def _extend(item: list[str], i: int, doc: str, p: int, step: int) -> list[bool]:
-    """From item word i (not yet matched) and stream position p, forwards (step 1) or backwards (-1): whether each next
-    word is as it was, until the passage has too many changes to be one. Backwards, words and stream are reversed."""
-    flags: list[bool] = []
+def distance(pattern: str, text: str) -> int:
+    """Edit distance of two strings (bit-parallel, both ends fixed)."""
+    if not pattern:
+        return len(text)
+    peq: dict[str, int] = defaultdict(int)
+    for i, c in enumerate(pattern):
+        peq[c] |= 1 << i
+    full, top = (1 << len(pattern)) - 1, 1 << (len(pattern) - 1)
+    pv, mv, score = full, 0, len(pattern)
+    for c in text:
+        eq = peq.get(c, 0)
+        xv = eq | mv
+        xh = (((eq & pv) + pv) ^ pv) | eq
+        ph = mv | ~(xh | pv)
+        mh = pv & xh
+        score += bool(ph & top) - bool(mh & top)
+        ph, mh = (ph << 1) | 1, mh << 1
+        pv = (mh | ~(xv | ph)) & full
+        mv = ph & xv & full
+    return score
+
+
+def _extend(item: list[str], i: int, doc: str, p: int) -> list[tuple[bool, int]]:
+    """From item word i (not yet matched) and stream position p on: for each next word whether it is as it was, and the
+    position after it, until the passage has too many changes to be one."""
+    out: list[tuple[bool, int]] = []
     bad = 0
     n = len(item)
     while i < n:
         w = item[i]
         if doc.startswith(w, p):
-            flags.append(True)
             p += len(w)
+            out.append((True, p))
             i += 1
             continue
         # A changed word, or a few: the stream must pick up again at the item words that follow.
@@ -104,40 +127,31 @@ def _extend(item: list[str], i: int, doc: str, p: int, step: int) -> list[bool]:
                 if i + 1 < n and doc.startswith(item[i + 1][:3], p + used):
                     at = p + used
                 elif i + 1 == n:
-                    flags.append(False)
+                    out.append((False, p + used))
                     break
         bad += skip
-        if at < 0 or bad > 3 + len(flags) // 8:
+        if at < 0 or bad > 3 + len(out) // 8:
             break
-        flags += [False] * skip
+        out += [(False, at)] * skip
         p = at
         i += skip
-    return flags
+    return out
 
 
-def longest(flags: list[bool]) -> int:
-    """Words of the longest run that begins and ends as it likes and has at most one change in ten words."""
-    n, best = len(flags), 0
+def longest(flags: list[bool]) -> tuple[int, int]:
+    """(begin, end) of the longest stretch of words of which at most one in SHARE is changed."""
+    n, best = len(flags), (0, 0)
     sums = [0]
     for f in flags:
         sums.append(sums[-1] + (not f))
     for a in range(n):
-        for b in range(n, a + best, -1):
-            if 10 * (sums[b] - sums[a]) <= b - a:
-                best = b - a
+        for b in range(n, a + best[1] - best[0], -1):
+            if SHARE * (sums[b] - sums[a]) <= b - a:
+                best = (a, b)
                 break
     return best
 
 
-def literal(flags: list[bool]) -> int:
-    """Words of the longest run without a change."""
-    best = n = 0
-    for f in flags:
-        n = n + 1 if f else 0
-        best = max(best, n)
-    return best
-
-
 class Matcher:
     def __init__(self, items: list[tuple[int, str]]):
         import ahocorasick
@@ -154,6 +168,13 @@ class Matcher:
         if pieces:
             self.machine.make_automaton()
 
+    @staticmethod
+    def _within(passage: list[str], text: str) -> bool:
+        """Whether the text's letters are as near to the passage's as its budget of changed words allows: those with most
+        letters replaced by others, which may be a little longer."""
+        k = len(passage) // SHARE
+        return distance("".join(passage), text) <= sum(sorted(map(len, passage))[len(passage) - k :]) + 8 * k
+
     def match(self, text: str) -> dict[int, int]:
         """Per item the words of its longest passage in the text, where it is long enough to be a case."""
         found: dict[int, int] = {}
@@ -171,18 +192,17 @@ class Matcher:
                 n = min(PIECE, len(ws) - i)
                 if i + n <= done.get((k, offset), 0):
                     continue
-                right = _extend(ws, i + n, doc, end + 1, 1)
+                right = _extend(ws, i + n, doc, end + 1)
                 rev = rev if rev is not None else doc[::-1]
-                left = _extend(self.back[k], len(ws) - i, rev, len(doc) - begin, -1)
-                chain = left[::-1] + [True] * n + right
-                got = longest(chain)
-                # A sentence built on the item's pattern goes on beside its longest run, changed too often; a passage ends.
-                # LEAST words in a row as they were are a case whatever stands beside them.
-                if LEAST <= got < SURE and literal(chain) < LEAST and chain.count(False) - (not chain[0]) - (not chain[-1]) > 0.12 * len(chain):
+                left = _extend(self.back[k], len(ws) - i, rev, len(doc) - begin)
+                # The chain's words, and where each begins and ends in the stream.
+                edges = [len(doc) - p for _, p in reversed(left)] + [begin + sum(map(len, ws[i : i + m])) for m in range(n + 1)] + [p for _, p in right]
+                chain = [f for f, _ in reversed(left)] + [True] * n + [f for f, _ in right]
+                a, b = longest(chain)
+                if b - a < LEAST or not self._within(ws[i - len(left) + a : i - len(left) + b], doc[edges[a] : edges[b]]):
                     continue
-                if got >= LEAST:
-                    done[k, offset] = i + n + len(right)
-                    found[k] = max(got, found.get(k, 0))
+                done[k, offset] = i + n + len(right)
+                found[k] = max(b - a, found.get(k, 0))
         return found
 
 

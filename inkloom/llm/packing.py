@@ -2,8 +2,8 @@
 
 Method: mixture-controlled packing. The corpus is cut into shards by a hash; each shard packs its own windows by
 deficit round-robin over source queues: a window gives every source its quantum (target share of the capacity) on top
-of the deficit carried from the windows before, and what room is left goes to the queued document that fits it best,
-charged to its source's deficit. What the shards before a shard over- or underfeed is known from token totals alone, so
+of the deficit carried from the windows before, and what room is left goes to a queued document that fits it well, of
+the source that is most in deficit among such; it is charged to its source. What the shards before a shard over- or underfeed is known from token totals alone, so
 that deficits also carry across partitions: a shard starts with the difference between the target and the supply of all
 shards before it.
 """
@@ -22,8 +22,12 @@ from inkloom.session import cut
 
 CAPACITY = 4096
 NONE = "(none)"
+#: Each source has a queue in every shard.
+MOST_SOURCES = 10_000
 #: Tokens of a shard; bounds what one task holds (ids and sizes only, never texts).
-SHARD_TOKENS = 8_000_000
+SHARD_TOKENS = 2_000_000
+#: A fit counts as good as the best if it fills this share of what the best does.
+NEARLY = 0.8
 _loaded: dict[str, object] = {}
 
 
@@ -117,18 +121,18 @@ def pack_shard(ids, sources, tokens, shares: dict[str, float], start: dict[str,
                 n, i, piece = queue[s].pop(k)
                 out.append((-i, piece, window, n))
                 room, deficit[s] = room - n, deficit[s] - n
-        # What is left: the best fit over all queues, charged to its source.
+        # What is left: of the queues' best fits those that fill nearly as much as the best, the one most in deficit.
         while room > 0:
-            best = None
-            for s in names:
-                k = bisect_right(queue[s], (room, 1, 0)) - 1
-                if k >= 0 and (best is None or (queue[s][k][0], deficit.get(s, 0.0)) > best[:2]):
-                    best = (queue[s][k][0], deficit.get(s, 0.0), s, k)
-            if best is None or best[0] == 0 and room < capacity and not any(q and q[0][0] == 0 for q in queue.values()):
+            fits = [(queue[s][k][0], s, k) for s in names if (k := bisect_right(queue[s], (room, 1, 0)) - 1) >= 0]
+            if not fits:
                 break
-            n, i, piece = queue[best[2]].pop(best[3])
+            top = max(f[0] for f in fits)
+            if top == 0 and room < capacity and not any(q and q[0][0] == 0 for q in queue.values()):
+                break
+            n, s, k = max((f for f in fits if f[0] >= NEARLY * top), key=lambda f: (deficit.get(f[1], 0.0), f[0]))
+            n, i, piece = queue[s].pop(k)
             out.append((-i, piece, window, n))
-            room, deficit[best[2]] = room - n, deficit.get(best[2], 0.0) - n
+            room, deficit[s] = room - n, deficit.get(s, 0.0) - n
         window += 1
     return out
 
@@ -141,7 +145,9 @@ def pack(sized: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id", tar
     shard and number. An empty table gives an empty result.
     """
     sized = cut(sized)  # ids and sizes: they are read three times, the texts once
-    totals = sized.groupBy("source").agg(F.sum("n_tokens").alias("n")).collect()  # a row for each source
+    totals = sized.groupBy("source").agg(F.sum("n_tokens").alias("n")).limit(MOST_SOURCES + 1).collect()
+    if len(totals) > MOST_SOURCES:
+        raise ValueError(f"more than {MOST_SOURCES} sources; group them before packing")
     total = sum(r["n"] or 0 for r in totals)
     wanted = {r["source"]: (target.get(r["source"], 0.0) if target else (r["n"] or 0) / max(1, total)) for r in totals}
     shards = max(1, round(total / shard_tokens))
@@ -154,11 +160,10 @@ def pack(sized: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id", tar
     carried = carried.withColumn("owed", whole * F.col("share") - F.col("n"))
     carried = carried.withColumn("deficit", F.coalesce(F.sum("owed").over(W.partitionBy("source").orderBy("shard").rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0)))
     start = carried.groupBy("shard").agg(F.map_from_entries(F.collect_list(F.struct("source", "deficit"))).alias("start"))
-    limit = 4 * capacity  # a deficit that supply can't meet must not starve the rest
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         left = left.sort_values([id_col, "source"], kind="stable").reset_index(drop=True)
-        began = {k: max(-limit, min(limit, v)) for k, v in (dict(right["start"].iloc[0]) if len(right) else {}).items()}
+        began = dict(right["start"].iloc[0]) if len(right) else {}
         shares = {k: wanted.get(k, 0.0) for k in left["source"].unique()}
         rows = pack_shard(left[id_col].tolist(), left["source"].tolist(), left["n_tokens"].tolist(), shares, {k: v for k, v in began.items() if k in shares}, capacity)
         at = [r[0] for r in rows]
@@ -169,6 +174,23 @@ def pack(sized: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id", tar
     return s.groupBy("shard").cogroup(start.groupBy("shard")).applyInPandas(run, schema)
 
 
+def fill(packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """Per shard of a packed corpus: windows, n_tokens, fill (the share of the room used), and how far the sources' shares
+    are from the corpus's: off_mean and off_max, the mean and the largest difference of any source in a window that more
+    than one document shares, and off_shard, the largest difference of any source in the shard."""
+    p = packed.withColumn("shard", F.substring_index("window", "-", 1))
+    by = p.groupBy("shard", "window", "source").agg(F.sum("n_tokens").alias("n"), F.count("*").alias("docs"))
+    share = by.groupBy("source").agg(F.sum("n").alias("of")).withColumn("share", F.col("of") / F.sum("of").over(W.partitionBy(F.lit(1)))).select("source", "share")
+    whole = by.groupBy("shard", "window").agg(F.sum("n").alias("all"), F.sum("docs").alias("docs"), F.collect_list(F.struct("source", "n")).alias("x"))
+    target = share.agg(F.map_from_entries(F.collect_list(F.struct("source", "share")))).scalar()
+    whole = whole.withColumn("t", target)
+    got = F.map_from_entries("x")
+    off = F.array_max(F.transform(F.map_keys("t"), lambda s: F.abs(F.coalesce(F.try_element_at(got, s), F.lit(0)) / F.greatest("all", F.lit(1)) - F.try_element_at(F.col("t"), s))))
+    windows = whole.withColumn("off", F.when(F.col("docs") > 1, off)).groupBy("shard").agg(F.count("*").alias("windows"), F.sum("all").alias("n_tokens"), F.avg("off").alias("off_mean"), F.max("off").alias("off_max"))
+    shards = by.groupBy("shard", "source").agg(F.sum("n").alias("n")).withColumn("all", F.sum("n").over(W.partitionBy("shard"))).join(share, "source").groupBy("shard").agg(F.max(F.abs(F.col("n") / F.col("all") - F.col("share"))).alias("off_shard"))
+    return windows.join(shards, "shard").select("shard", "windows", "n_tokens", (F.col("n_tokens") / (F.col("windows") * capacity)).alias("fill"), "off_mean", "off_max", "off_shard")
+
+
 def found(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY) -> DataFrame:
     """p8_found: the documents that the packer had to split, as they alone exceed the capacity."""
     return pack(sizes(docs, tokenizer), capacity).where("piece > 0").select("doc_id").distinct()

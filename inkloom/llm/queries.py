@@ -84,9 +84,9 @@ def p8_packed(spark, d):
 
 
 def p8_fill(spark, d):
-    """Per shard: windows, tokens and share of the room used, and the largest difference from the target proportions."""
-    p = packing.pack(packing.sizes(t(spark, d, "documents"))).withColumn("shard", F.substring_index("window", "-", 1))
-    return p.groupBy("shard").agg(F.count_distinct("window").alias("windows"), F.sum("n_tokens").alias("n_tokens")).withColumn("fill", F.round(F.col("n_tokens") / (F.col("windows") * packing.CAPACITY), 6))
+    """Per shard: windows, tokens and share of the room used, and the differences from the target proportions."""
+    f = packing.fill(packing.pack(packing.sizes(t(spark, d, "documents"))))
+    return f.select("shard", "windows", "n_tokens", *[F.round(c, 6).alias(c) for c in ("fill", "off_mean", "off_max", "off_shard")])
 
 
 def p9_found(spark, d):

@@ -1,12 +1,19 @@
 """Text of scanned pages repaired into continuous paragraphs (problem 2).
 
-Method: the lines of a page, without running headers and page numbers, are de-lined into one stream that a Viterbi
-search decodes jointly into words: a piece of the stream may stand for itself, for a word that the scanner is known to
-misrecognise so, for the first half of a word broken at the line's end, or for two words run together. Words and their
-neighbours are weighed by counts from the archive's clean text. Paragraph boundaries are chosen by dynamic programming.
+Method: the lines of a page, without running headers and page numbers, are de-lined into one stream of characters, in
+which a space, a line's end and a hyphen at it are marks that may be read or not. A Viterbi search decodes the stream
+jointly into words. A word covers the stream from one place to another: as it stands; with characters that the scanner
+is known to confuse; over a line's end, with its hyphen or without; over a space within a line, where a word was torn;
+or only a part of what stands between two spaces, where words were run together, in as many parts as it takes. Words and
+their neighbours are weighed by counts from the archive's clean text. Paragraph boundaries are chosen by dynamic
+programming.
+
+A line is a running header if its shape (digits and codes masked) stands at the edge of several pages and in no clean
+text, or is nearly such a shape.
 
 The counts are a sketch of fixed size (two hashed counters for each word and pair of neighbours), built by one
-distributed count over all clean texts; its size does not grow with the data and is a documented parameter.
+distributed count over all clean texts; its size does not grow with the data and is a documented parameter. A word is
+known if it has its share of the sketch's total, so that a corpus that is many times as large knows no more mistakes.
 """
 
 from __future__ import annotations
@@ -22,7 +29,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkloom.llm.forms import usual
+from inkloom.llm.forms import mapped, usual
+from inkloom.session import cut, maybe_broadcast, parts
 
 #: Bits of the sketch: 2**WORD_BITS counters for words, 2**PAIR_BITS for pairs; about 10 bytes for each counter in use.
 WORD_BITS, PAIR_BITS = 19, 20
@@ -32,8 +40,12 @@ CONFUSED = {
     "rn": ["m"], "ri": ["n"], "cl": ["d"], "lc": ["k"], "ii": ["u"], "vv": ["w"], "c": ["e"], "f": ["t"], "b": ["h"], "y": ["v", "ij"], "li": ["h"], "$": ["s"], "m": ["rn"],
 }
 #: Cost of one confusion, by whether a letter or another sign stands for it; of a word read as two; of a word unknown.
-LETTER, SIGN, SPLIT, BROKEN = 5.0, 1.5, 9.0, 7.0
+LETTER, SIGN, SPLIT, BROKEN, TORN = 5.0, 1.5, 9.0, 7.0, 8.0
 MOST_CONFUSIONS = 3
+#: Share of all counted words that makes a word known, beside 2 texts (or 5, where it is a part of what stood together).
+KNOWN = 2e-8
+#: Pages at whose edge a header's shape must stand, share of its lines that must stand there, and its longest line.
+HEADER_PAGES, HEADER_EDGE, HEADER_LONG = 3, 0.8, 80
 EDGE = ".,;:!?()[]{}\"'“”„‘’…*«»<>/\\=_~"
 CODE = r"\b[A-Z]{2,4}\d{2,3}\b"
 NUMBERED = re.compile(r"^[\W_]*(?:(?:p|pg|pag|pagina|page|blz|bl|bladz|blad|fo|fol|folio|f)\b[\s.:]*)?[\dlIO]{1,4}\s?[rv]?[\W_]*$", re.I)
@@ -62,6 +74,9 @@ class Counts:
         a, b = _buckets(w, WORD_BITS)
         return int(min(self.words[0][a], self.words[1][b]))
 
+    def known(self, w: str, least: int = 2) -> bool:
+        return self.word(w) >= max(least, KNOWN * self.total)
+
     @lru_cache(maxsize=400_000)
     def score(self, before: str, w: str) -> float:
         """Log-probability of a word after another, interpolated; an unknown word costs by its length."""
@@ -124,100 +139,127 @@ def variants(core: str) -> dict[str, float]:
     return out
 
 
+def numbered(line: str) -> bool:
+    """Whether a line is a page number: digits, with or without a word for page, and no date."""
+    t = line.strip()
+    return len(t) <= 14 and any(c.isdigit() for c in t) and bool(NUMBERED.match(t)) and not DATED.search(t)
+
+
 class Decoder:
-    def __init__(self, counts: Counts, headers: list[str]):
-        self.counts, self.headers = counts, headers
+    def __init__(self, counts: Counts):
+        self.counts = counts
         self.options = lru_cache(maxsize=100_000)(self._options)
-
-    def furniture(self, line: str) -> bool:
-        t = line.strip()
-        if not t or DATED.search(t):
-            return False
-        if len(t) <= 14 and any(c.isdigit() for c in t) and NUMBERED.match(t):
-            return True
-        if len(t) > 80:
-            return False
-        if re.search(CODE, t) and len(t.split()) <= 9:
-            return True
-        shape = masked(t)
-        return any(abs(len(shape) - len(h)) <= 3 and near(shape, h, max(2, len(h) // 8)) for h in self.headers)
+        self.cuts = lru_cache(maxsize=50_000)(self._cuts)
 
     def _options(self, core: str) -> list[tuple[str, float]]:
         """The known words a piece may stand for, the piece itself first."""
         lower = core.lower()
         got = [(lower, 0.0)]
         if any(c.isalpha() for c in lower) or "@" in lower or "|" in lower:
-            got += [(w, c) for w, c in variants(lower).items() if w != lower and self.counts.word(w) >= 2 and w.replace("-", "").replace("'", "").replace("’", "").isalpha()]
+            got += [(w, c) for w, c in variants(lower).items() if w != lower and self.counts.known(w) and w.replace("-", "").replace("'", "").replace("’", "").isalpha()]
         return got
 
-    def decode(self, lines: list[tuple[int, str]]) -> tuple[list[tuple[int, str]], list[str]]:
-        """(repairs, paragraphs) of one reading; lines in reading order. Repairs: line and word, '' for furniture."""
+    def _cuts(self, core: str) -> list[list[int]]:
+        """For each place in a piece that no word explains, the places up to which a known word goes on from there; only
+        ways that lead from its begin to its end."""
+        low, n = core.lower(), len(core)
+        ends: list[list[int]] = [[] for _ in range(n + 1)]
+        if n < 6 or not core.isalpha() or self.counts.known(low, 1) or len(self.options(core)) > 1:
+            return ends
+        to_end = [False] * n + [True]
+        for a in range(n - 2, -1, -1):
+            ends[a] = [b for b in range(a + 2, n + 1) if to_end[b] and (b - a < n) and self.counts.known(low[a:b], 5)]
+            to_end[a] = bool(ends[a])
+        return ends
+
+    def decode(self, lines: list[tuple[int, str]], headers: set[int] = frozenset()) -> tuple[list[tuple[int, str]], list[str]]:
+        """(repairs, paragraphs) of one reading; lines in reading order, headers the numbers of its running headers.
+        Repairs: line and word, '' for furniture; words that were run together are one repair each."""
         repairs: list[tuple[int, str]] = []
         content: list[tuple[int, str]] = []
         for no, text in lines:
             t = usual(text).replace("\t", " ")
-            if self.furniture(t):
+            if t.strip() and (no in headers or numbered(t)):
                 repairs.append((no, ""))
             elif t.strip():
                 content.append((no, t.strip()))
-        # The stream's pieces: line, piece, whether it is its line's last.
+        # The stream between its marks: line number, characters, line, whether the mark after them is a line's end.
         pieces = [(no, p, i, j == len(ps) - 1) for i, (no, t) in enumerate(content) for ps in [t.split()] for j, p in enumerate(ps)]
-        beams: list[dict[str, tuple[float, int, str, str, str]]] = [{"": (0.0, -1, "", "", "")}] + [{} for _ in pieces]
+        # Places in the stream: a piece and a character in it.
+        beams: dict[tuple[int, int], dict[str, tuple]] = {(0, 0): {"": (0.0, None, "", "", "", False)}}
+        score = self.counts.score
 
-        def step(i: int, j: int, word: str, cost: float, kind: str, shown: str) -> None:
-            for before, state in beams[i].items():
-                total = state[0] + cost - self.counts.score(before, word)
-                if word not in beams[j] or total < beams[j][word][0]:
-                    beams[j][word] = (total, i, before, kind, shown)
+        def step(at: tuple[int, int], to: tuple[int, int], word: str, cost: float, kind: str, shown: str, tight: bool = False) -> None:
+            into = beams.setdefault(to, {})
+            for before, state in beams[at].items():
+                total = state[0] + cost - score(before, word)
+                if word not in into or total < into[word][0]:
+                    into[word] = (total, at, before, kind, shown, tight)
 
         for i, (no, p, li, last) in enumerate(pieces):
-            if len(beams[i]) > 12:
-                beams[i] = dict(sorted(beams[i].items(), key=lambda x: x[1][0])[:12])
+            at = (i, 0)
+            if at not in beams:
+                continue
+            if len(beams[at]) > 1:
+                # A word's future depends on it alone: what is worse by more than any neighbour can mend is left.
+                best = min(x[0] for x in beams[at].values())
+                beams[at] = {w: x for w, x in beams[at].items() if x[0] <= best + 40.0}
             core = p.strip(EDGE)
             lead, trail = (p[: p.find(core)], p[p.find(core) + len(core) :]) if core else (p, "")
             if not any(c.isalpha() for c in core) and not re.search(r"[@|]", core):
-                step(i, i + 1, core.lower(), 0.0, "same", p)
+                step(at, (i + 1, 0), core.lower(), 0.0, "same", p)
                 continue
             hyphened = last and p.endswith("-") and len(core.rstrip("-")) > 0
-            if not hyphened:
-                for w, c in self.options(core):
-                    step(i, i + 1, w, c, "same" if c == 0 else "fixed", p if c == 0 else lead + like(w, core) + trail)
-                if not self.counts.word(core.lower()) and core.isalpha() and len(core) >= 6 and len(self.options(core)) == 1:
-                    low = core.lower()
-                    for k in range(2, len(low) - 1):
-                        if self.counts.word(low[:k]) >= 5 and self.counts.word(low[k:]) >= 5:
-                            word = low[:k] + " " + low[k:]
-                            cost = SPLIT - self.counts.score("", low[k:]) * 0.5
-                            step(i, i + 1, word, cost - self.counts.score("", low[:k]) + self.counts.score("", word), "parted", lead + core[:k] + " " + core[k:] + trail)
+            if hyphened:
+                step(at, (i + 1, 0), core.lower(), 2.0, "same", p)
             else:
-                step(i, i + 1, core.lower(), 2.0, "same", p)
-            if last and i + 1 < len(pieces):
-                nxt = pieces[i + 1][1]
-                ncore = nxt.strip(EDGE)
-                if ncore and any(c.isalpha() for c in ncore) and ncore[:1] == ncore[:1].lower() and (hyphened or (not trail and core.isalpha() and ncore.isalpha())):
-                    head, ntrail = core.rstrip("-"), nxt[nxt.find(ncore) + len(ncore) :]
-                    if not hyphened and self.counts.word(core.lower()) and self.counts.word(ncore.lower()):
-                        continue
-                    suspended = hyphened and ncore.lower() in ("en", "of", "and", "or", "und", "oder")
-                    for joined, extra in ((head + ncore, 0.0), (head + "-" + ncore, 0.5)) if hyphened else ((head + ncore, BROKEN),):
-                        for w, c in self.options(joined):
-                            known = self.counts.word(w)
-                            if suspended and not known or not hyphened and known < 2:
-                                continue
-                            # An unknown whole is no less likely than its unknown halves.
-                            bonus = -12.0 if hyphened and not known else 0.0
-                            step(i, i + 2, w, c + extra + bonus, "broken", lead + like(w, joined) + ntrail)
-        out, i = [], len(pieces)
-        if pieces and not beams[i]:
+                for w, c in self.options(core):
+                    step(at, (i + 1, 0), w, c, "same" if c == 0 else "fixed", p if c == 0 else lead + like(w, core) + trail)
+                ends = self.cuts(core)
+                if ends[0]:
+                    low, n = core.lower(), len(core)
+                    for a in range(n):
+                        if (i, a) not in beams:
+                            continue
+                        for b in ends[a]:
+                            cost = SPLIT + 0.5 * (-score("", low[a:b])) if a else 0.0
+                            step((i, a), (i + 1, 0) if b == n else (i, b), low[a:b], cost, "parted", (lead if a == 0 else "") + core[a:b] + (trail if b == n else ""))
+            if i + 1 == len(pieces):
+                continue
+            nxt = pieces[i + 1][1]
+            ncore = nxt.strip(EDGE)
+            ntrail = nxt[nxt.find(ncore) + len(ncore) :] if ncore else ""
+            if not ncore or not any(c.isalpha() for c in ncore) or ncore[:1] != ncore[:1].lower():
+                continue
+            plain = not trail and core.isalpha() and ncore.isalpha()
+            if last and (hyphened or plain):
+                head = core.rstrip("-")
+                if not hyphened and self.counts.known(core.lower(), 1) and self.counts.known(ncore.lower(), 1):
+                    continue
+                suspended = hyphened and ncore.lower() in ("en", "of", "and", "or", "und", "oder")
+                for joined, extra in ((head + ncore, 0.0), (head + "-" + ncore, 0.5)) if hyphened else ((head + ncore, BROKEN),):
+                    for w, c in self.options(joined):
+                        known = self.counts.known(w, 1)
+                        if suspended and not known or not hyphened and not self.counts.known(w):
+                            continue
+                        # An unknown whole is no less likely than its unknown halves.
+                        bonus = -12.0 if hyphened and not known else 0.0
+                        step(at, (i + 2, 0), w, c + extra + bonus, "broken", lead + like(w, joined) + ntrail)
+            elif not last and plain and nxt.startswith(ncore):
+                # Torn within a line: only where a part is no word.
+                whole = core + ncore
+                if self.counts.known(whole.lower(), 5) and not (self.counts.known(core.lower(), 5) and self.counts.known(ncore.lower(), 5)):
+                    step(at, (i + 2, 0), whole.lower(), TORN, "torn", lead + whole + ntrail)
+        out, at = [], (len(pieces), 0)
+        if pieces and not beams.get(at):
             return repairs, []
-        word = min(beams[i], key=lambda w: beams[i][w][0]) if pieces else ""
-        while i > 0:
-            _, back, before, kind, shown = beams[i][word]
-            no = pieces[back][0]
-            if kind == "broken" or kind == "fixed":
-                repairs.append((no, word.strip(EDGE + "-")))
-            out.append((pieces[back][2], shown))
-            i, word = back, before
+        word = min(beams[at], key=lambda w: beams[at][w][0]) if pieces else ""
+        while at != (0, 0):
+            _, back, before, kind, shown, _ = beams[at][word]
+            if kind != "same":
+                repairs.append((pieces[back[0]][0], word.strip(EDGE + "-")))
+            out.append((pieces[back[0]][2], shown))
+            at, word = back, before
         out.reverse()
         by_line: dict[int, list[str]] = {}
         for li, shown in out:
@@ -248,12 +290,15 @@ def paragraphs(rows: list[tuple[str, str]]) -> list[str]:
     inner = [0]
     for e in end:
         inner.append(inner[-1] + (e < 0))
+    # The cost of a paragraph from i to j parts into what i and what j add, so that the best begin is carried along.
     best, back = [0.0], [0]
+    begin, cheapest = 0, 0.0
     for j in range(1, len(rows) + 1):
-        c = [(best[i] + 0.4 + (end[j - 1] if j < len(rows) else 0.0) + 0.35 * (inner[j - 1] - inner[min(i, j - 1)]), i) for i in range(max(0, j - 60), j)]
-        cost, i = min(c)
-        best.append(cost)
-        back.append(i)
+        here = best[j - 1] - 0.35 * inner[j - 1]
+        if j == 1 or here <= cheapest:
+            begin, cheapest = j - 1, here
+        best.append(cheapest + 0.4 + (end[j - 1] if j < len(rows) else 0.0) + 0.35 * inner[j - 1])
+        back.append(begin)
     out, j = [], len(rows)
     while j > 0:
         i = back[j]
@@ -262,10 +307,6 @@ def paragraphs(rows: list[tuple[str, str]]) -> list[str]:
     return out[::-1]
 
 
-def masked(line: str) -> str:
-    return re.sub(r"\d", "9", re.sub(CODE, "#", line.strip())).lower()
-
-
 def near(a: str, b: str, most: int) -> bool:
     """Whether the edit distance is at most `most`."""
     row = list(range(len(b) + 1))
@@ -279,7 +320,7 @@ def near(a: str, b: str, most: int) -> bool:
     return row[-1] <= most
 
 
-def _masked(line: Column) -> Column:
+def _shape(line: Column) -> Column:
     return F.lower(F.regexp_replace(F.regexp_replace(F.trim(line), CODE, "#"), r"\d", "9"))
 
 
@@ -295,30 +336,63 @@ def readings(letters: DataFrame, transcriptions: DataFrame, engine: str = "scano
     return a.unionByName(b)
 
 
+def headers(reads: DataFrame, clean: DataFrame, col: str = "text") -> DataFrame:
+    """(table_name, page_id, engine, reading, heads): the numbers of each reading's lines that are running headers.
+
+    A shape is a header if it stands on HEADER_PAGES pages or more, nearly always at a page's edge (its first or last two
+    lines), and is no line of the clean texts. Lines at an edge that are nearly a header's shape count as well: they are
+    found by the first or the last letters that they share with it.
+    """
+    key = ["table_name", "page_id", "engine", "reading"]
+    at = reads.select(*key, F.size("lines").alias("n"), F.posexplode("lines").alias("i", "l"))
+    edge = (F.col("i") < 2) | (F.col("i") >= F.col("n") - 2)
+    at = at.select(*key, F.col("l.no").alias("no"), F.col("l.text").alias("line"), edge.alias("edge")).where((F.length("line") <= HEADER_LONG) & F.col("line").rlike(r"\p{L}{2}"))
+    at = at.withColumn("shape", _shape(mapped(F.col("line"))))
+    shapes = at.groupBy("shape").agg(F.count_distinct("page_id").alias("pages"), F.avg(F.col("edge").cast("double")).alias("at_edge"))
+    shapes = shapes.where((F.col("pages") >= HEADER_PAGES) & (F.col("at_edge") >= HEADER_EDGE) & (F.length("shape") >= 6))
+    # What clean texts have as a line, or nearly, is what people write at a page's head: dates, greetings.
+    lines = clean.where(F.col(col).isNotNull()).select(F.explode(F.split(col, "\n")).alias("line")).where(F.length("line") <= HEADER_LONG)
+    written = lines.select(_shape(mapped(F.col("line"))).alias("w")).distinct()
+
+    @F.pandas_udf("boolean")
+    def alike(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([near(x, y, max(2, len(y) // 8)) for x, y in zip(a, b)], dtype=bool)
+
+    ends = lambda c: F.array(F.concat(F.lit("<"), F.substring(c, 1, 4)), F.concat(F.lit(">"), F.right(F.col(c), F.lit(4))))
+    close = lambda a, b: F.abs(F.length(a) - F.length(b)) <= 3
+    shapes = cut(shapes.select("shape"))
+    by = shapes.withColumn("k", F.explode(ends("shape")))
+    wrote = written.withColumn("k", F.explode(ends("w")))
+    usual_ones = by.join(wrote, "k").where(close("shape", "w")).select("shape", "w").distinct().where(alike("w", "shape")).select("shape").distinct()
+    heads = cut(shapes.join(usual_ones, "shape", "left_anti"))
+    exact = at.join(maybe_broadcast(heads, 100_000), "shape", "left_semi").select(*key, "no")
+    rest = at.where("edge").join(maybe_broadcast(heads, 100_000), "shape", "left_anti").select("shape").distinct()
+    nearly = rest.withColumn("k", F.explode(ends("shape"))).join(heads.select(F.col("shape").alias("head"), F.explode(ends("shape")).alias("k")), "k").where(close("shape", "head"))
+    nearly = cut(nearly.select("shape", "head").distinct().where(alike("shape", "head")).select("shape").distinct())
+    more = at.where("edge").join(maybe_broadcast(nearly, 100_000), "shape", "left_semi").select(*key, "no")
+    return exact.unionByName(more).groupBy(*key).agg(F.collect_set("no").alias("heads"))
+
+
 def repair(reads: DataFrame, clean: DataFrame, col: str = "text") -> DataFrame:
     """table_name, page_id, engine, reading, repairs (line_no, word; '' for furniture) and the repaired paragraphs.
 
     clean: texts whose words are counted. Null lines are left out; an empty page has no paragraphs.
     """
     table = counts(clean, col)
-    lines = reads.select("page_id", F.explode("lines.text").alias("line"))
-    shapes = lines.where(F.col("line").rlike(CODE) & (F.length("line") <= 80)).groupBy(_masked(F.col("line")).alias("shape")).agg(F.count_distinct("page_id").alias("n"))
-    pages = reads.select(F.count_distinct("page_id").alias("n")).first()["n"]
-    # Each shape stands on at least one page in 300, so that there are few.
-    headers = [r["shape"] for r in shapes.where(F.col("n") >= max(2, pages / 300)).orderBy(F.desc("n"), "shape").limit(300).collect()]
-    shared = reads.sparkSession.sparkContext.broadcast((table.words, table.pairs, headers))
+    shared = reads.sparkSession.sparkContext.broadcast((table.words, table.pairs))
 
     def run(batches):
-        words, pairs, heads = shared.value
-        decoder = Decoder(Counts(words, pairs), heads)
+        decoder = Decoder(Counts(*shared.value))
         for b in batches:
-            out = [decoder.decode([(x["no"], x["text"]) for x in lines]) for lines in b["lines"]]
+            out = [decoder.decode([(x["no"], x["text"]) for x in lines], set() if heads is None else {int(h) for h in heads}) for lines, heads in zip(b["lines"], b["heads"])]
             yield pd.DataFrame({**{c: b[c] for c in ("table_name", "page_id", "engine", "reading")}, "repairs": [[{"line_no": n, "word": w} for n, w in o[0]] for o in out], "paragraphs": [o[1] for o in out]})
 
     schema = "table_name string, page_id string, engine string, reading string, repairs array<struct<line_no:int,word:string>>, paragraphs array<string>"
+    key = ["table_name", "page_id", "engine", "reading"]
     # Few pages, each dear: more partitions than the scan has.
-    n = max(int(reads.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2 * reads.sparkSession.sparkContext.defaultParallelism)
-    return reads.repartition(n, "page_id", "engine", "reading").mapInPandas(run, schema)
+    n = max(parts(reads.sparkSession), 2 * reads.sparkSession.sparkContext.defaultParallelism)
+    each = reads.repartition(n, *key).join(headers(reads, clean, col).repartition(n, *key), key, "left")
+    return each.select(*key, "lines", "heads").mapInPandas(run, schema)
 
 
 def clean_texts(documents: DataFrame, gold: DataFrame, transcriptions: DataFrame) -> DataFrame:

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkloom.llm.forms import usual
+from inkloom.session import maybe_broadcast, parts
 
 #: More entries than this don't go into one broadcast dictionary; raise it with the executors' memory.
 MOST_TERMS = 200_000
@@ -97,7 +98,7 @@ class Dictionary:
                 self.index[d].add(k)
         self.prefixes = defaultdict(set)
         for k in self.spellings:
-            for n in range(4, len(k)):
+            for n in range(3, len(k)):
                 self.prefixes[k[:n]].add(k)
 
     @staticmethod
@@ -154,12 +155,12 @@ class Dictionary:
             f = f.rstrip()
             # An abbreviation: its words begin the entry's words, or it begins exactly one entry.
             if "." in f and len(k := letters(f)) >= 3:
-                hits = {self.spellings[s][0] for s in self.prefixes.get(k, ())}
+                hits = {self.spellings[s][0] for s in self.prefixes.get(k, ())} if len(k) >= 4 else set()
                 if len(hits) == 1:
                     return hits.pop()
                 parts = [letters(w) for w in re.split(r"[ .-]+", f) if letters(w)]
                 pattern = re.compile("".join(map(re.escape, parts[:1])) + "".join(f".*{re.escape(p)}" for p in parts[1:]))
-                hits = {v[0] for s, v in self.spellings.items() if len(parts) > 1 and len(parts[0]) >= 3 and pattern.match(s)}
+                hits = {self.spellings[s][0] for s in self.prefixes.get(parts[0], ()) if pattern.match(s)} if len(parts) > 1 and len(parts[0]) >= 3 else set()
                 if len(hits) == 1:
                     return hits.pop()
         return -1
@@ -188,7 +189,9 @@ def link(values: DataFrame, terms: DataFrame) -> DataFrame:
             b["term_id"] = [books[k].find(t) if k in books else -1 for k, t in zip(b["kind"], b["typed"])]
             yield b[["kind", "typed", "term_id"]]
 
-    each = values.select("kind", "typed").distinct().repartition("kind", "typed")
+    # Few values, each dear: spread by number, which the session doesn't merge into few tasks.
+    n = max(parts(values.sparkSession), 2 * values.sparkSession.sparkContext.defaultParallelism)
+    each = values.select("kind", "typed").distinct().repartition(n, "kind", "typed")
     return each.mapInPandas(run, "kind string, typed string, term_id bigint")
 
 
@@ -199,5 +202,5 @@ def found(entities: DataFrame, terms: DataFrame) -> DataFrame:
     rows = pick("place", "place", "name").unionByName(pick("place", "place", "detail")).unionByName(pick("role", "person", "detail"))
     rows = rows.where(F.col("typed").isNotNull() & (F.col("typed") != "")).distinct()
     literal = terms.select("kind", F.col("term").alias("typed")).distinct()
-    linked = link(rows.groupBy("kind", "typed").agg(F.count("*").alias("n")), terms).join(F.broadcast(literal), ["kind", "typed"], "left_anti")
+    linked = link(rows.groupBy("kind", "typed").agg(F.count("*").alias("n")), terms).join(maybe_broadcast(literal, MOST_TERMS), ["kind", "typed"], "left_anti")
     return rows.join(linked, ["kind", "typed"]).select("letter_id", "kind", "field", "typed", "term_id")

@@ -103,17 +103,36 @@ def test_scan_decoder(spark):
     clean = ["Het onweerde hevig en de kapitein-luitenant moest schuilen met de koperen lamp van mijn matroos", "de dominee bevalt ons goed en de matroos moest schuilen"] * 4
     clean = [f"{c} nummer {'abcdefgh'[i]}" for i, c in enumerate(clean)]
     text = "Corr. AXC13, fo. 1\nHet onweerde hcvig en de kapi-\ntein-luitenant moest schuilen met de\nkoperen larnp van mijn rnatroos\n8-9-'49\n- 2 -"
-    le = spark.createDataFrame([("p", text), ("q", None), ("r", ""), ("s", "\n\n")], "page_id string, text_final string")
+    le = spark.createDataFrame([("p", text), ("q", None), ("r", ""), ("s", "\n\n"), *((f"h{i}", f"Corr. AXC{i}3, fo. {i}\nde matroos moest schuilen\nmet de lamp") for i in range(1, 4)), ("t", "Соrr. AXC13, f0. 4\nde matroos moest schu ilen\nmet de koperenlamp van mijn matroos")], "page_id string, text_final string")
     tr = spark.createDataFrame([("p", "scanocr", "m", "v", "x", 0, i, t, "h", None) for i, t in enumerate(["de clominee be-", "valt ons goed"])] * 2, FRAMES["transcriptions"])
     c = spark.createDataFrame([(x,) for x in clean] + [(None,), ("",)], "text string")
     out = {(r["table_name"], r["page_id"]): r for r in scans.repair(scans.readings(le, tr), c).collect()}
     got = sorted((x["line_no"], x["word"]) for x in out[("letters", "p")]["repairs"])
     assert got == [(1, ""), (2, "hevig"), (2, "kapitein-luitenant"), (4, "lamp"), (4, "matroos"), (6, "")]
     assert sorted((x["line_no"], x["word"]) for x in out[("transcriptions", "p")]["repairs"]) == [(0, "bevalt"), (0, "dominee")]
+    assert sorted((x["line_no"], x["word"]) for x in out[("letters", "t")]["repairs"]) == [(1, ""), (2, "schuilen"), (3, "koperen"), (3, "lamp")]
+    assert [x["line_no"] for x in out[("letters", "h1")]["repairs"]] == [1]
     assert out[("letters", "r")]["paragraphs"] == [] and "kapitein-luitenant moest" in " ".join(out[("letters", "p")]["paragraphs"])
     assert scans.repair(scans.readings(le.limit(0), tr.limit(0)), c).count() == 0
 
 
+def test_headers_need_no_code(spark):
+    pages = [(f"p{i}", f"Familiearchief Jansen\nBeste ouders,\nwoord{i} staat hier\nnog een regel {chr(97 + i)}{chr(97 + i)}") for i in range(4)] + [("q", "Brieven KNIL45 kwamen vandaag aan\nBeste ouders,"), ("z", "Familiearchlef Jansen\nx y")]
+    r = scans.readings(spark.createDataFrame(pages, "page_id string, text_final string"), spark.createDataFrame([], FRAMES["transcriptions"]))
+    clean = spark.createDataFrame([("Beste ouders,\nhet gaat goed",), (None,)], "text string")
+    got = {x["page_id"]: x["heads"] for x in scans.headers(r, clean).collect()}
+    assert got == {**{f"p{i}": [1] for i in range(4)}, "z": [1]}
+
+
+def test_paragraphs_equal_brute_force():
+    rng = random.Random(9)
+    for _ in range(60):
+        rows = [(x, x) for x in (" ".join(rng.choice(["Hij", "ging.", "naar", "huis,", "lang" * 3]) for _ in range(rng.randint(1, 9))) for _ in range(rng.randint(1, 9)))]
+        got = scans.paragraphs(rows)
+        assert " ".join(got) == " ".join(b for _, b in rows) and len(got) <= len(rows)
+    assert len(scans.paragraphs([("een lange regel van tekst die doorgaat", "een lange regel van tekst die doorgaat")] * 500)) == 1
+
+
 def test_scan_counts_each_text_once(spark):
     c = scans.counts(spark.createDataFrame([("de kok en de kok",)] * 5 + [("de kok ging",), (None,)], "text string"))
     assert (c.word("kok"), c.word("en"), c.word("ging"), c.total) == (2, 1, 1, 6.0)
@@ -224,6 +243,13 @@ def test_packing(spark):
     assert (p.groupby("doc_id").n_tokens.sum().sort_index().tolist()) == [n for _, _, n in rows]
     assert set(p[p.piece > 0].doc_id) == {i for i, _, n in rows if n > 4096}
     assert p.n_tokens.sum() / (p.window.nunique() * 4096) > 0.95
+    f = packing.fill(packing.pack(s, shard_tokens=200_000)).collect()
+    assert len(f) > 1 and sum(r["n_tokens"] for r in f) == sum(n for _, _, n in rows) and all(0 <= r["off_shard"] < 0.2 for r in f)
+    assert packing.fill(packing.pack(s.limit(0))).count() == 0
+    # What one shard owes is paid by the next: a target is met over all of them as far as there is supply.
+    t = spark.createDataFrame([(i, "a" if i < 300 else "b", 400) for i in range(600)], "doc_id bigint, source string, n_tokens bigint")
+    q = packing.pack(t, target={"a": 0.5, "b": 0.5}, shard_tokens=30_000).toPandas()
+    assert q.window.str.split("-").str[0].nunique() > 4 and len(q) == 600
     assert packing.pack(s.limit(0)).count() == 0
     d = spark.createDataFrame([(1, "kort", "a", 1), (2, None, None, 1), (3, "lang woord " * 6000, "a", 1), (None, "x", "a", 1)], "doc_id bigint, text string, source string, shard int")
     assert [r[0] for r in packing.found(d).collect()] == [3]
@@ -247,7 +273,7 @@ def test_myers():
         a = "".join(rng.choice("abc") for _ in range(rng.randint(1, 12)))
         b = "".join(rng.choice("abc") for _ in range(rng.randint(0, 15)))
         row = dp(a, b)
-        assert leaks.myers(a, b)[0] == min(row) and row[leaks.myers(a, b)[1]] == min(row)
+        assert leaks.myers(a, b)[0] == min(row) and row[leaks.myers(a, b)[1]] == min(row) and leaks.distance(a, b) == row[-1]
 
 
 def test_leaks(spark):
@@ -263,6 +289,21 @@ def test_leaks(spark):
 LONG = "Seven lanterns hung above the narrow quay while the quartermaster counted wet blankets, biscuits and rope, and nobody noticed how the youngest sailor carried his accordion quietly along the muddy gangway towards the lighted village square."
 
 
+def test_every_passage_holds_a_piece():
+    rng = random.Random(8)
+    assert leaks.PIECE == 6
+    for _ in range(2000):
+        n = rng.randint(leaks.LEAST, 60)
+        changed = set(rng.sample(range(n), n // leaks.SHARE))
+        run = best = 0
+        for i in range(n):
+            run = 0 if i in changed else run + 1
+            best = max(best, run)
+        assert best >= leaks.PIECE
+    w = LONG.split()
+    assert leaks.Matcher([(1, LONG)]).match("voor " + " ".join(w[1:8] + ["iets", *w[9:15], "anders", *w[16:22]]) + " na").get(1, 0) >= 20
+
+
 def _swapped(w):
     return w[1] + w[0] + w[2:]
 
