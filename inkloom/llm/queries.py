@@ -23,7 +23,7 @@ def p2_found(spark, d):
 
 def p2_paragraphs(spark, d):
     tr = t(spark, d, "transcriptions")
-    r = scans.repair(scans.readings(t(spark, d, "letters"), tr), scans.clean_texts(t(spark, d, "documents"), t(spark, d, "gold"), tr))
+    r = scans.repair(scans.readings(t(spark, d, "letters"), tr), scans.clean_texts(t(spark, d, "documents"), t(spark, d, "gold"), tr), lines=scans.clean_lines(t(spark, d, "gold"), tr))
     return r.select("table_name", "page_id", "engine", "reading", F.posexplode("paragraphs").alias("paragraph_no", "paragraph"))
 
 

@@ -336,23 +336,22 @@ def readings(letters: DataFrame, transcriptions: DataFrame, engine: str = "scano
     return a.unionByName(b)
 
 
-def headers(reads: DataFrame, clean: DataFrame, col: str = "text") -> DataFrame:
+def headers(reads: DataFrame, lines: DataFrame) -> DataFrame:
     """(table_name, page_id, engine, reading, heads): the numbers of each reading's lines that are running headers.
 
     A shape is a header if it stands on HEADER_PAGES pages or more, nearly always at a page's edge (its first or last two
-    lines), and is no line of the clean texts. Lines at an edge that are nearly a header's shape count as well: they are
-    found by the first or the last letters that they share with it.
+    lines), and is none of the clean lines(line). Lines at an edge that are nearly a header's shape count as well: they
+    are found by the first or the last letters that they share with it.
     """
     key = ["table_name", "page_id", "engine", "reading"]
     at = reads.select(*key, F.size("lines").alias("n"), F.posexplode("lines").alias("i", "l"))
     edge = (F.col("i") < 2) | (F.col("i") >= F.col("n") - 2)
     at = at.select(*key, F.col("l.no").alias("no"), F.col("l.text").alias("line"), edge.alias("edge")).where((F.length("line") <= HEADER_LONG) & F.col("line").rlike(r"\p{L}{2}"))
-    at = at.withColumn("shape", _shape(mapped(F.col("line"))))
+    at = cut(at.select(*key, "no", "edge", _shape(mapped(F.col("line"))).alias("shape")))  # read four times
     shapes = at.groupBy("shape").agg(F.count_distinct("page_id").alias("pages"), F.avg(F.col("edge").cast("double")).alias("at_edge"))
     shapes = shapes.where((F.col("pages") >= HEADER_PAGES) & (F.col("at_edge") >= HEADER_EDGE) & (F.length("shape") >= 6))
     # What clean texts have as a line, or nearly, is what people write at a page's head: dates, greetings.
-    lines = clean.where(F.col(col).isNotNull()).select(F.explode(F.split(col, "\n")).alias("line")).where(F.length("line") <= HEADER_LONG)
-    written = lines.select(_shape(mapped(F.col("line"))).alias("w")).distinct()
+    written = lines.where(F.length("line") <= HEADER_LONG).select("line").distinct().select(_shape(mapped(F.col("line"))).alias("w")).distinct()
 
     @F.pandas_udf("boolean")
     def alike(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -373,11 +372,13 @@ def headers(reads: DataFrame, clean: DataFrame, col: str = "text") -> DataFrame:
     return exact.unionByName(more).groupBy(*key).agg(F.collect_set("no").alias("heads"))
 
 
-def repair(reads: DataFrame, clean: DataFrame, col: str = "text") -> DataFrame:
+def repair(reads: DataFrame, clean: DataFrame, col: str = "text", lines: DataFrame | None = None) -> DataFrame:
     """table_name, page_id, engine, reading, repairs (line_no, word; '' for furniture) and the repaired paragraphs.
 
-    clean: texts whose words are counted. Null lines are left out; an empty page has no paragraphs.
+    clean: texts whose words are counted; lines(line): lines as people write them, by default those of the clean texts.
+    Null lines are left out; an empty page has no paragraphs.
     """
+    lines = lines if lines is not None else clean.where(F.col(col).isNotNull()).select(F.explode(F.split(col, "\n")).alias("line"))
     table = counts(clean, col)
     shared = reads.sparkSession.sparkContext.broadcast((table.words, table.pairs))
 
@@ -391,7 +392,7 @@ def repair(reads: DataFrame, clean: DataFrame, col: str = "text") -> DataFrame:
     key = ["table_name", "page_id", "engine", "reading"]
     # Few pages, each dear: more partitions than the scan has.
     n = max(parts(reads.sparkSession), 2 * reads.sparkSession.sparkContext.defaultParallelism)
-    each = reads.repartition(n, *key).join(headers(reads, clean, col).repartition(n, *key), key, "left")
+    each = reads.repartition(n, *key).join(headers(reads, lines).repartition(n, *key), key, "left")
     return each.select(*key, "lines", "heads").mapInPandas(run, schema)
 
 
@@ -401,7 +402,13 @@ def clean_texts(documents: DataFrame, gold: DataFrame, transcriptions: DataFrame
     return documents.select("text").unionByName(gold.select(F.col("gold_text").alias("text"))).unionByName(ref.select("text"))
 
 
+def clean_lines(gold: DataFrame, transcriptions: DataFrame) -> DataFrame:
+    """(line): the lines of checked pages and of reference readings."""
+    ref = transcriptions.where("engine = 'local' AND sample_no = 0 AND text IS NOT NULL").select(F.col("text").alias("line"))
+    return gold.where("gold_text IS NOT NULL").select(F.explode(F.split("gold_text", "\n")).alias("line")).unionByName(ref)
+
+
 def found(letters: DataFrame, transcriptions: DataFrame, documents: DataFrame, gold: DataFrame) -> DataFrame:
     """p2_found: every repair needed, one row each."""
-    r = repair(readings(letters, transcriptions), clean_texts(documents, gold, transcriptions))
+    r = repair(readings(letters, transcriptions), clean_texts(documents, gold, transcriptions), lines=clean_lines(gold, transcriptions))
     return r.select("table_name", "page_id", "engine", F.explode("repairs").alias("x")).select("table_name", "page_id", "engine", "x.line_no", "x.word").distinct()

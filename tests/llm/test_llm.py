@@ -119,7 +119,7 @@ def test_scan_decoder(spark):
 def test_headers_need_no_code(spark):
     pages = [(f"p{i}", f"Familiearchief Jansen\nBeste ouders,\n{chr(97 + i) * 9} staat hier\nnog een regel {chr(97 + i) * 7}") for i in range(4)] + [("q", "Brieven KNIL45 kwamen vandaag aan\nBeste ouders,"), ("z", "Familiearchlef Jansen\nx y")]
     r = scans.readings(spark.createDataFrame(pages, "page_id string, text_final string"), spark.createDataFrame([], FRAMES["transcriptions"]))
-    clean = spark.createDataFrame([("Beste ouders,\nhet gaat goed",), (None,)], "text string")
+    clean = spark.createDataFrame([("Beste ouders,",), ("het gaat goed",), (None,)], "line string")
     got = {x["page_id"]: x["heads"] for x in scans.headers(r, clean).collect()}
     assert got == {**{f"p{i}": [1] for i in range(4)}, "z": [1]}
 
