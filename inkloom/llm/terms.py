@@ -189,9 +189,9 @@ def link(values: DataFrame, terms: DataFrame) -> DataFrame:
             b["term_id"] = [books[k].find(t) if k in books else -1 for k, t in zip(b["kind"], b["typed"])]
             yield b[["kind", "typed", "term_id"]]
 
-    # Few values, each dear: spread by number, which the session doesn't merge into few tasks.
+    # Few values, each dear: spread by number and by a hash of their own, which the session doesn't merge into few tasks.
     n = max(parts(values.sparkSession), 2 * values.sparkSession.sparkContext.defaultParallelism)
-    each = values.select("kind", "typed").distinct().repartition(n, "kind", "typed")
+    each = values.select("kind", "typed").distinct().repartition(n, F.xxhash64("typed", "kind"))
     return each.mapInPandas(run, "kind string, typed string, term_id bigint")
 
 
