@@ -1,8 +1,9 @@
 """Values that stop too early, and how often each source cuts (problem 6).
 
 Method: a structural check with a stack automaton. It reads a value and says what is open at its end: quotes, brackets,
-markup, a broken multibyte sequence or escape, and the sentence, where the terminator is missing. Every case comes from
-one of these findings. Brackets, quotes, markup, bytes and escapes decide by themselves where nothing that follows
+markup, a broken multibyte sequence or escape, and the sentence, where the terminator is missing. Nearly every case
+comes from one of these findings or from a field limit; a line that closes a sentence but stops before the end that its
+other readings reach is a case as well (`end`). Brackets, quotes, markup, bytes and escapes decide by themselves where nothing that follows
 closes them. A missing terminator is weighed by its source's baseline: a source that closes nearly all its values is cut
 where one is open, and a source that leaves most of them open (lines of a page go on in the next) needs a second sign:
 
