@@ -99,6 +99,26 @@ def test_chains_of_spellings_have_one_head(spark):
     assert len({r["head"] for r in names.families(p).collect()}) == 1
 
 
+def test_mistakes_at_both_ends_of_a_name(spark):
+    pairs = [("koolmaat", "koomlaat"), ("krekelhorst", "kiekelhorsl"), ("molenveldt", "moenvedt"), ("zandpoort", "zadpoord"), ("zeilpoort", "zeilopord")]
+    p = spark.createDataFrame([(f"C{i}", f"{x} {w}", w, 1) for i, (a, z) in enumerate(pairs) for w, xs in ((a, "abcd"), (z, "e")) for x in xs], "collection string, s string, family string, n long")
+    assert {r["family"]: r["head"] for r in names.families(p).collect()} == {w: a for a, z in pairs for w in (a, z)}
+
+
+def test_spellings_gather_at_the_name_that_others_have(spark):
+    rows = [("A", "windemaat", 1), ("A", "windomaat", 3), ("A", "wiudemaat", 2), *((c, "windemaat", 1) for c in "BCD")]
+    p = spark.createDataFrame([(c, w, w, n) for c, w, n in rows], "collection string, s string, family string, n long")
+    assert {r["head"] for r in names.families(p).where("collection = 'A'").collect()} == {"windemaat"}
+
+
+def test_family_name_first_with_a_mistake(spark):
+    taught = [(f"{c}-1", "person", f"{g} {f}", f"{f}, {g}") for c, f in (("B", "Klaverveld"), ("C", "Rozeboom"), ("D", "Witteman")) for g in ("Petronella", "Frederik")]
+    rows = [("A-1", "person", x, None) for x in ("Kersensloot, Petronella", "Kersenslot Petronella", "Petronella Kersenslooot", "Frederik Kersensloot")]
+    e = spark.createDataFrame([(*r, None, None, "w", 1, "s") for r in rows + taught], ENT)
+    same = sorted(x[2] for x in rows[:3])
+    assert {(r["name_a"], r["name_b"]) for r in names.found(e).where("collection = 'A'").collect()} == {(a, b) for a in same for b in same if a < b}
+
+
 def test_scan_decoder(spark):
     clean = ["Het onweerde hevig en de kapitein-luitenant moest schuilen met de koperen lamp van mijn matroos", "de dominee bevalt ons goed en de matroos moest schuilen"] * 4
     clean = [f"{c} nummer {'abcdefgh'[i]}" for i, c in enumerate(clean)]
