@@ -50,7 +50,7 @@ EDGE = ".,;:!?()[]{}\"'“”„‘’…*«»<>/\\=_~"
 CODE = r"\b[A-Z]{2,4}\d{2,3}\b"
 NUMBERED = re.compile(r"^[\W_]*(?:(?:p|pg|pag|pagina|page|blz|bl|bladz|blad|fo|fol|folio|f)\b[\s.:]*)?[\dlIO]{1,4}\s?[rv]?[\W_]*$", re.I)
 DATED = re.compile(r"\d{1,4}\s?[-/.]\s?(?:\d{1,2}|[ivx]+)\s?[-/.]\s?'?\d{2,4}")
-_lex_word = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
+_lex_word = re.compile(r"[^\W\d_]++(?:['’-][^\W\d_]++)*+")
 
 
 def lex_words(text: str) -> list[str]:
@@ -68,6 +68,7 @@ class Counts:
     def __init__(self, words: np.ndarray, pairs: np.ndarray):
         self.words, self.pairs = words, pairs
         self.total = max(1.0, float(words[0].sum()))
+        self.least = KNOWN * self.total
 
     @lru_cache(maxsize=200_000)
     def word(self, w: str) -> int:
@@ -75,7 +76,8 @@ class Counts:
         return int(min(self.words[0][a], self.words[1][b]))
 
     def known(self, w: str, least: int = 2) -> bool:
-        return self.word(w) >= max(least, KNOWN * self.total)
+        n = self.word(w)
+        return n >= least and n >= self.least
 
     @lru_cache(maxsize=400_000)
     def score(self, before: str, w: str) -> float:
@@ -145,6 +147,16 @@ def numbered(line: str) -> bool:
     return len(t) <= 14 and any(c.isdigit() for c in t) and bool(NUMBERED.match(t)) and not DATED.search(t)
 
 
+@lru_cache(maxsize=100_000)
+def parted(p: str) -> tuple[str, str, str, str, bool, bool]:
+    """Of what stands between two marks: its core, what leads and trails it, the core in small letters, whether it holds
+    something to read, and whether a letter."""
+    core = p.strip(EDGE)
+    i = p.find(core)
+    letter = any(c.isalpha() for c in core)
+    return core, p[:i] if core else p, p[i + len(core) :] if core else "", core.lower(), letter or "@" in core or "|" in core, letter
+
+
 class Decoder:
     def __init__(self, counts: Counts):
         self.counts = counts
@@ -186,15 +198,20 @@ class Decoder:
         # The stream between its marks: line number, characters, line, whether the mark after them is a line's end.
         pieces = [(no, p, i, j == len(ps) - 1) for i, (no, t) in enumerate(content) for ps in [t.split()] for j, p in enumerate(ps)]
         # Places in the stream: a piece and a character in it.
-        beams: dict[tuple[int, int], dict[str, tuple]] = {(0, 0): {"": (0.0, None, "", "", "", False)}}
-        score = self.counts.score
-
-        def step(at: tuple[int, int], to: tuple[int, int], word: str, cost: float, kind: str, shown: str, tight: bool = False) -> None:
-            into = beams.setdefault(to, {})
+        beams: dict[tuple[int, int], dict[str, tuple]] = {(0, 0): {"": (0.0, None, "", "", "")}}
+        score, known = self.counts.score, self.counts.known
+
+        def step(at: tuple[int, int], to: tuple[int, int], word: str, cost: float, kind: str, shown: str) -> None:
+            into = beams.get(to)
+            if into is None:
+                into = beams[to] = {}
+            got = into.get(word)
+            least = got[0] if got else math.inf
             for before, state in beams[at].items():
                 total = state[0] + cost - score(before, word)
-                if word not in into or total < into[word][0]:
-                    into[word] = (total, at, before, kind, shown, tight)
+                if total < least:
+                    least = total
+                    into[word] = (total, at, before, kind, shown)
 
         for i, (no, p, li, last) in enumerate(pieces):
             at = (i, 0)
@@ -204,20 +221,19 @@ class Decoder:
                 # A word's future depends on it alone: what is worse by more than any neighbour can mend is left.
                 best = min(x[0] for x in beams[at].values())
                 beams[at] = {w: x for w, x in beams[at].items() if x[0] <= best + 40.0}
-            core = p.strip(EDGE)
-            lead, trail = (p[: p.find(core)], p[p.find(core) + len(core) :]) if core else (p, "")
-            if not any(c.isalpha() for c in core) and not re.search(r"[@|]", core):
-                step(at, (i + 1, 0), core.lower(), 0.0, "same", p)
+            core, lead, trail, low, to_read, _ = parted(p)
+            if not to_read:
+                step(at, (i + 1, 0), low, 0.0, "same", p)
                 continue
             hyphened = last and p.endswith("-") and len(core.rstrip("-")) > 0
             if hyphened:
-                step(at, (i + 1, 0), core.lower(), 2.0, "same", p)
+                step(at, (i + 1, 0), low, 2.0, "same", p)
             else:
                 for w, c in self.options(core):
                     step(at, (i + 1, 0), w, c, "same" if c == 0 else "fixed", p if c == 0 else lead + like(w, core) + trail)
                 ends = self.cuts(core)
                 if ends[0]:
-                    low, n = core.lower(), len(core)
+                    n = len(core)
                     for a in range(n):
                         if (i, a) not in beams:
                             continue
@@ -227,35 +243,34 @@ class Decoder:
             if i + 1 == len(pieces):
                 continue
             nxt = pieces[i + 1][1]
-            ncore = nxt.strip(EDGE)
-            ntrail = nxt[nxt.find(ncore) + len(ncore) :] if ncore else ""
-            if not ncore or not any(c.isalpha() for c in ncore) or ncore[:1] != ncore[:1].lower():
+            ncore, nlead, ntrail, nlow, _, letter = parted(nxt)
+            if not letter or ncore[:1] != ncore[:1].lower():
                 continue
             plain = not trail and core.isalpha() and ncore.isalpha()
             if last and (hyphened or plain):
                 head = core.rstrip("-")
-                if not hyphened and self.counts.known(core.lower(), 1) and self.counts.known(ncore.lower(), 1):
+                if not hyphened and known(low, 1) and known(nlow, 1):
                     continue
-                suspended = hyphened and ncore.lower() in ("en", "of", "and", "or", "und", "oder")
+                suspended = hyphened and nlow in ("en", "of", "and", "or", "und", "oder")
                 for joined, extra in ((head + ncore, 0.0), (head + "-" + ncore, 0.5)) if hyphened else ((head + ncore, BROKEN),):
                     for w, c in self.options(joined):
-                        known = self.counts.known(w, 1)
-                        if suspended and not known or not hyphened and not self.counts.known(w):
+                        real = known(w, 1)
+                        if suspended and not real or not hyphened and not known(w):
                             continue
                         # An unknown whole is no less likely than its unknown halves.
-                        bonus = -12.0 if hyphened and not known else 0.0
+                        bonus = -12.0 if hyphened and not real else 0.0
                         step(at, (i + 2, 0), w, c + extra + bonus, "broken", lead + like(w, joined) + ntrail)
-            elif not last and plain and nxt.startswith(ncore):
+            elif not last and plain and not nlead:
                 # Torn within a line: only where a part is no word.
                 whole = core + ncore
-                if self.counts.known(whole.lower(), 5) and not (self.counts.known(core.lower(), 5) and self.counts.known(ncore.lower(), 5)):
+                if not (known(low, 5) and known(nlow, 5)) and known(whole.lower(), 5):
                     step(at, (i + 2, 0), whole.lower(), TORN, "torn", lead + whole + ntrail)
         out, at = [], (len(pieces), 0)
         if pieces and not beams.get(at):
             return repairs, []
         word = min(beams[at], key=lambda w: beams[at][w][0]) if pieces else ""
         while at != (0, 0):
-            _, back, before, kind, shown, _ = beams[at][word]
+            _, back, before, kind, shown = beams[at][word]
             if kind != "same":
                 repairs.append((pieces[back[0]][0], word.strip(EDGE + "-")))
             out.append((pieces[back[0]][2], shown))

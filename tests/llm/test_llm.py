@@ -153,6 +153,17 @@ def test_paragraphs_equal_brute_force():
     assert len(scans.paragraphs([("een lange regel van tekst die doorgaat", "een lange regel van tekst die doorgaat")] * 500)) == 1
 
 
+def test_pieces_are_parted_once():
+    words, pairs = ([[0] * (1 << n) for _ in range(2)] for n in (scans.WORD_BITS, scans.PAIR_BITS))
+    decoder = scans.Decoder(scans.Counts(scans.np.array(words), scans.np.array(pairs)))
+    scans.parted.cache_clear()
+    lines = [(i, "(De kok, de kok) - 3 de") for i in range(200)]
+    repairs, out = decoder.decode(lines)
+    assert repairs == [] and " ".join(out) == " ".join(t for _, t in lines)
+    assert scans.parted.cache_info().misses == 6
+    assert scans.parted("(Kok,") == ("Kok", "(", ",", "kok", True, True) and scans.parted("--") == ("--", "", "", "--", False, False)
+
+
 def test_scan_counts_each_text_once(spark):
     c = scans.counts(spark.createDataFrame([("de kok en de kok",)] * 5 + [("de kok ging",), (None,)], "text string"))
     assert (c.word("kok"), c.word("en"), c.word("ging"), c.total) == (2, 1, 1, 6.0)
